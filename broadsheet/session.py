@@ -1,0 +1,31 @@
+"""Session settings the jobs rely on."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def build(app: str = "broadsheet", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+    """A session with adaptive execution and UTC; everything else is left to the cluster's own configuration."""
+    b = (
+        SparkSession.builder.appName(app)
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    )
+    if master:
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    return b.getOrCreate()
+
+
+def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
+    """The shared folder named by ``spark.checkpoint.dir``; ``fallback`` is used (and set) only where it is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if fallback:
+        spark.conf.set("spark.checkpoint.dir", fallback)
+    return fallback
