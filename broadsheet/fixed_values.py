@@ -33,7 +33,7 @@ EPOCH_MS_ABOVE = 1_000_000_000_000
 # --- markup ---------------------------------------------------------------------------------------------------------
 TOKEN = (
     r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"|<[a-z/!?](?:[^'\">]+|\"[^\"]*\"|'[^']*')*>|<[a-z/!?][^>]*>|[^<]+|<"
+    r"""|<[a-z/!?](?:[^'">]+|"[^"]*"|'[^']*')*>|<[a-z/!?][^>]*>|[^<]+|<"""
 )
 VOID_TAGS = [
     "br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr",

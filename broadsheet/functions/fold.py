@@ -21,40 +21,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _pack(state: dict[str, Column], out: Column) -> Column:
-    return F.struct(*[c.alias(k) for k, c in state.items()], out.alias("out"))
-
-
 def fold_emit(
     items: Column,
     init: dict[str, Column],
-    step: Callable[[Callable[[str], Column], Column], tuple[dict[str, Column], Column]],
+    step: Callable[[Callable[[str], Column], Callable[..., Column], Column], Column],
     finish: Callable[[Callable[[str], Column]], Column],
 ) -> Column:
     """Fold ``items`` from the left; return every emitted string joined, followed by ``finish(last state)``.
 
-    ``step(get, item)`` returns the fields that change and the string to emit; ``get(name)`` reads the current state.
+    ``step(get, then, item)`` returns the next state: ``get(name)`` reads a field of the current one, and
+    ``then(emitted, **changed)`` builds the next one from the string to write and the fields that differ.
     """
     no_out = F.array().cast("array<string>")
-    names = list(init)
+
+    def pack(state: dict[str, Column], out: Column) -> Column:
+        return F.struct(*[state[k].alias(k) for k in init], out.alias("out"))
 
     def inner(acc: Column, item: Column) -> Column:
-        changed, emitted = step(lambda k: acc[k], item)
-        state = {k: changed.get(k, acc[k]) for k in names}
-        return _pack(state, F.array_append(acc["out"], emitted))
+        def then(emitted: Column, **changed: Column) -> Column:
+            return pack({k: changed.get(k, acc[k]) for k in init}, F.array_append(acc["out"], emitted))
+
+        return step(lambda k: acc[k], then, item)
 
     def outer(acc: Column, piece: Column) -> Column:
-        folded = F.aggregate(piece, _pack({k: acc[k] for k in names}, no_out), inner)
+        folded = F.aggregate(piece, pack({k: acc[k] for k in init}, no_out), inner)
         return let(
-            folded,
-            lambda r: _pack({k: r[k] for k in names}, F.array_append(acc["out"], F.array_join(r["out"], ""))),
+            folded, lambda r: pack({k: r[k] for k in init}, F.array_append(acc["out"], F.array_join(r["out"], "")))
         )
 
     starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(SLICE))
     pieces = F.transform(starts, lambda i: F.slice(items, i, SLICE))
     return F.aggregate(
         pieces,
-        _pack(init, no_out),
+        pack(init, no_out),
         outer,
         lambda acc: F.concat(F.array_join(acc["out"], ""), finish(lambda k: acc[k])),
     )
