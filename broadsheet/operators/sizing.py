@@ -1,0 +1,18 @@
+"""Broadcast only behind a check of the row count."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 200_000
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether the relation has at most that many rows; stops counting beyond the bound."""
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The relation with a broadcast hint when it is proven small, unchanged otherwise (a shuffled join then)."""
+    return F.broadcast(df) if at_most(df, rows) else df

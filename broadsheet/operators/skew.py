@@ -1,0 +1,35 @@
+"""Equi-join in which one key may hold a large share of the left rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from broadsheet.operators import sizing
+
+HOT_ROWS = 1_000_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join on ``key``; keys with more than ``hot_rows`` left rows are spread over several partitions.
+
+    Left counts are pre-aggregated.  There are at most total/hot_rows hot keys.  A hot key gets count/hot_rows parts on
+    the left and only the right rows of that key are repeated, so the result is the plain join.
+    """
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > hot_rows).select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
+    if sizing.at_most(hot, 0):
+        return left.join(right, key, how)
+    hot = sizing.small(hot)
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    spread = (
+        left.join(hot, key, "left")
+        .withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c != key]), parts).cast("int"))
+        .drop("_parts")
+    )
+    repeated = (
+        right.join(hot, key, "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_parts")
+    )
+    return spread.join(repeated, [key, "_part"], how).drop("_part")
