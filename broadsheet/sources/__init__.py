@@ -1,0 +1 @@
+"""Source readers and sinks."""
