@@ -6,14 +6,14 @@ writes the result.  The expression is a narrow projection: no shuffle, no sort,
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fv
 from broadsheet.functions import images, rules, tree
 from broadsheet.functions import markup as m
 from broadsheet.functions.fold import fold_emit, let
-from broadsheet.functions.textops import blank_to_null, decode_entities, first_filled, html_to_text, strip
+from broadsheet.functions.textops import blank_to_null, decode_entities, strip
 
 _REGION_TAGS = ["nav", "header", "footer", "aside"]
 MAX_LINK_SHARE = 0.5
@@ -48,22 +48,30 @@ def _decisions(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t["kind"].isin("text", "close"), t).otherwise(one(t)))
 
 
-def clean_markup(html: Column, base: Column, keep_link: Column) -> Column:
-    """Rules that need no source configuration beyond keep_link, in one pass."""
-    def finish(ts: Column) -> Column:
-        return tree.rebuild(_decisions(ts), close_paragraphs=True, mark_emoji=True)
+def clean_bodies(
+    df: DataFrame, html: str, base: str, image_list: str | None, keep_link: str | None, exclude: str | None, out: str
+) -> DataFrame:
+    """Column ``out`` with the cleaned ``html``: lead image, exclude rules, links, tables, icons, tags, styles,
+    attributes, nesting, emoji; the original where the result is null.
 
-    return let(
-        tree.link_tokens(m.parse(html), base, keep_link),
-        lambda linked: let(tree.unwrap_tables(linked), lambda flat: let(tree.cut_small_icons(flat), finish)),
+    Each stage is one projection, so that every intermediate value is computed once; there is no shuffle.
+    """
+    body, rule_list = F.col(html), F.col(exclude) if exclude else None
+    d = df.withColumn("_led", images.insert_lead_image(body, F.col(image_list)) if image_list else body)
+    if exclude:
+        some = F.coalesce(F.size(rule_list) > 0, F.lit(False))
+        d = d.withColumn("_ruled", F.when(some, rules.apply_rules(F.col("_led"), rule_list)).otherwise(F.col("_led")))
+        d = d.withColumn("_led", F.when(some, tree.drop_empty(F.col("_ruled"))).otherwise(F.col("_ruled")))
+    d = d.withColumn("_tokens", m.parse(F.col("_led")))
+    d = d.withColumn("_tokens", tree.link_tokens(F.col("_tokens"), F.col(base), F.col(keep_link) if keep_link else None))
+    d = d.withColumn("_tokens", tree.unwrap_tables(F.col("_tokens")))
+    d = d.withColumn("_tokens", tree.cut_small_icons(F.col("_tokens")))
+    d = d.withColumn("_tokens", _decisions(F.col("_tokens")))
+    written = let(
+        m.has_emoji(F.col("_led")),
+        lambda emoji: tree.rebuild(F.col("_tokens"), close_paragraphs=True, mark_emoji=emoji),
     )
-
-
-def clean_body(html: Column, base: Column, image_list: Column, keep_link: Column, exclude: Column) -> Column:
-    """Lead image, exclude rules, links, tables, tags, styles, attributes, nesting, emoji; the original on failure."""
-    led = images.insert_lead_image(html, image_list)
-    ruled = let(led, lambda h: rules.exclude(h, exclude))
-    return F.coalesce(let(ruled, lambda h: clean_markup(h, base, F.coalesce(keep_link, F.lit("Y")))), html)
+    return d.withColumn(out, F.coalesce(written, body)).drop("_led", "_ruled", "_tokens")
 
 
 # --- raw pages ------------------------------------------------------------------------------------------------------
@@ -122,6 +130,12 @@ def _text_share(html: Column) -> Column:
     return let(m.parse(html), lambda ts: fold_emit(ts, init, step, finish))
 
 
+def _has_content(html: Column) -> Column:
+    """Any visible character outside tags, or an image."""
+    seen = rf"(?:^|>)(?:[{fv.SPACE_CLASS}]|&nbsp;|&#160;)*+[^<{fv.SPACE_CLASS}]"
+    return html.rlike(seen) | html.rlike(r"(?i)<img[\s/>]")
+
+
 def main_content(html: Column) -> Column:
     """Body of a page: from the first article (else main) tag to its last end tag, else the page without navigation
     regions and without link-dense runs.  Comments, scripts and styles never count.  '' when no text or image is left.
@@ -136,11 +150,8 @@ def main_content(html: Column) -> Column:
         return let(cut, lambda c: let(_text_share(c), lambda d: tree.balance(tree.drop_empty(d))))
 
     def pick(h: Column) -> Column:
-        marked = first_filled(span(h, "article"), span(h, "main"))
-        body = F.coalesce(marked, F.when(h.rlike("<"), rest(h)).otherwise(h))
-        return let(
-            m.restore_images(body),
-            lambda b: F.when((html_to_text(b) != "") | b.rlike(r"(?i)<img[\s/>]"), b).otherwise(""),
-        )
+        main = let(span(h, "main"), lambda b: F.when(b != "", b).otherwise(F.when(h.contains("<"), rest(h)).otherwise(h)))
+        body = let(span(h, "article"), lambda a: F.when(a != "", a).otherwise(main))
+        return let(let(body, m.restore_images), lambda b: F.when(_has_content(b), b).otherwise(""))
 
     return F.when(F.coalesce(html, F.lit("")) == "", F.lit("")).otherwise(let(bare, pick))

@@ -10,18 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fv
+from broadsheet.functions.fold import let
 
 # Spark formats; the offset is always the last part.
 _WITH_OFFSET = [
     "d MMM yyyy H:mm:ss xx",
     "yyyy-MM-dd'T'H:mm:ss xx",
-    ("yyyy-MM-dd'T'H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S] xx"),
-    ("yyyy-MM-dd H:mm:ss xx"),
-    ("yyyy/MM/dd H:mm:ss xx"),
-    ("yyyy-MM-dd xx"),
-    ("d MMM yyyy H:mm xx"),
-    ("yyyy-MM-dd'T'H:mm xx"),
-    ("yyyy-MM-dd H:mm xx"),
+    "yyyy-MM-dd'T'H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S] xx",
+    "yyyy-MM-dd H:mm:ss xx",
+    "yyyy/MM/dd H:mm:ss xx",
+    "yyyy-MM-dd xx",
+    "d MMM yyyy H:mm xx",
+    "yyyy-MM-dd'T'H:mm xx",
+    "yyyy-MM-dd H:mm xx",
 ]
 
 
@@ -49,8 +50,11 @@ def _normal_form(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Epoch digits, mail-style, ISO and slash dates; anything else is returned unchanged, null and empty give ''."""
-    norm = _normal_form(text)
-    parsed = F.coalesce(*[F.try_to_timestamp(norm, F.lit(f)) for f in _WITH_OFFSET])
+    return let(text, _normalize)
+
+
+def _normalize(text: Column) -> Column:
+    parsed = let(_normal_form(text), lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in _WITH_OFFSET]))
     digits = F.when(text.rlike(r"^[0-9]{1,18}\z"), from_epoch(text.try_cast("double")))
     return (
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(""))

@@ -49,11 +49,13 @@ def fold_emit(
             folded, lambda r: pack({k: r[k] for k in init}, F.array_append(acc["out"], F.array_join(r["out"], "")))
         )
 
-    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(SLICE))
-    pieces = F.transform(starts, lambda i: F.slice(items, i, SLICE))
-    return F.aggregate(
-        pieces,
-        pack(init, no_out),
-        outer,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), finish(lambda k: acc[k])),
-    )
+    def run(all_items: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), F.lit(SLICE))
+        return F.aggregate(
+            F.transform(starts, lambda i: F.slice(all_items, i, SLICE)),
+            pack(init, no_out),
+            outer,
+            lambda acc: F.concat(F.array_join(acc["out"], ""), finish(lambda k: acc[k])),
+        )
+
+    return let(items, run)

@@ -48,7 +48,9 @@ def extract(html: Column, base: Column) -> Column:
     """Distinct absolute image addresses in order; inline data is skipped."""
     picked = F.transform(image_tags(html), lambda t: _candidate(t, fv.LAZY_IMAGE_ATTRS))
     wanted = F.filter(picked, lambda s: s.isNotNull() & ~s.startswith("data:image"))
-    found = F.array_distinct(F.transform(wanted, lambda s: urls.resolve(s, base)))
+    found = let(
+        urls.base_parts(base), lambda b: F.array_distinct(F.transform(wanted, lambda s: urls.resolve_in(s, b)))
+    )
     return F.when(html.rlike(r"(?i)<img"), found).otherwise(_no_strings())
 
 
@@ -97,17 +99,17 @@ def asset_filename(src: Column) -> Column:
 
 def insert_lead_image(html: Column, images: Column) -> Column:
     """Put the first listed image in front unless an image of the body already names it."""
-    lead = F.try_element_at(images, F.lit(1))
     srcs = F.transform(image_tags(html), lambda t: first_filled(m.attr_text(t, "src"), m.attr_text(t, "data-src")))
-    shown = F.exists(
-        srcs, lambda s: F.coalesce((s == lead) | s.contains(lead) | lead.contains(s), F.lit(False))
-    )
-    tag = F.concat(
-        F.lit('<p><img src="'), F.replace(F.replace(lead, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")),
-        F.lit('" alt="Lead Image"></p>'),
-    )
-    placed = F.when(
-        html.rlike(r"(?i)<body[\s>]"),
-        F.concat(F.regexp_extract(html, r"(?is)^(.*?<body[^>]*>)", 1), tag, F.regexp_extract(html, r"(?is)^.*?<body[^>]*>(.*)\z", 1)),
-    ).otherwise(F.concat(tag, html))
-    return F.when((html != "") & lead.isNotNull() & ~shown, placed).otherwise(html)
+
+    def place(lead: Column) -> Column:
+        shown = F.exists(
+            srcs, lambda s: F.coalesce((s == lead) | s.contains(lead) | lead.contains(s), F.lit(False))
+        )
+        written = F.replace(F.replace(lead, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+        tag = F.concat(F.lit('<p><img src="'), written, F.lit('" alt="Lead Image"></p>'))
+        head = F.regexp_extract(html, r"(?is)^.*?<body[^>]*>", 0)
+        inside = F.concat(head, tag, F.substring(html, F.length(head) + 1, F.length(html)))
+        placed = F.when(html.rlike(r"(?i)<body[\s>]"), inside).otherwise(F.concat(tag, html))
+        return F.when((html != "") & lead.isNotNull() & ~shown, placed).otherwise(html)
+
+    return let(F.try_element_at(images, F.lit(1)), place)

@@ -6,6 +6,7 @@ A token is a text run, a tag, a comment, or a whole script/style block.  Rules t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -91,13 +92,28 @@ def drop_attr(raw: Column, name: str) -> Column:
     return F.regexp_replace(raw, rf"(?is)^(<[a-z][^\s/>]*(?:[\s/]+{_ATTR})*?)[\s/]+{name}(?:\s*=\s*(?:{_VALUE})|(?=[\s/>]))", "$1")
 
 
+def replace_attr(raw: Column, name: str, value: Column) -> Column:
+    """New value for an attribute the tag has, in its place."""
+    found = F.regexp_extract(raw, _attr_pattern(name, rf"\s*=\s*({_VALUE})"), 0)
+    old = F.regexp_extract(found, rf"({_VALUE})\z", 1)
+
+    def write(head: Column) -> Column:
+        return F.concat(
+            F.left(head, F.length(head) - F.length(old)),
+            F.lit('"'), F.replace(value, F.lit('"'), F.lit("&quot;")), F.lit('"'),
+            F.substring(raw, F.length(head) + 1, F.length(raw)),
+        )
+
+    return let(found, write)
+
+
 def set_attr(raw: Column, name: str, value: Column) -> Column:
     """Replace the attribute's value in place, or append the attribute."""
+    end = F.regexp_extract(raw, r"\s*/?>\z", 0)
     text = F.concat(F.lit(f' {name}="'), F.replace(value, F.lit('"'), F.lit("&quot;")), F.lit('"'))
-    gone = drop_attr(raw, name)
-    cut = F.regexp_extract(gone, r"(?s)^(.*?)(\s*/?>)\z", 1)
-    end = F.regexp_extract(gone, r"(?s)^(.*?)(\s*/?>)\z", 2)
-    return F.concat(cut, text, end)
+    appended = F.concat(F.left(raw, F.length(raw) - F.length(end)), text, end)
+    valued = raw.rlike(_attr_pattern(name, r"\s*="))
+    return F.when(valued, replace_attr(raw, name, value)).when(has_attr(raw, name), raw).otherwise(appended)
 
 
 def attr_list(raw: Column) -> Column:
@@ -161,7 +177,7 @@ def _style_value(style: Column, is_img: Column) -> Column:
 def filter_style(raw: Column, name: Column) -> Column:
     """Remove colours everywhere and layout properties outside images; an emptied style attribute goes."""
     def apply(value: Column) -> Column:
-        return F.when(value == "", drop_attr(raw, "style")).otherwise(set_attr(raw, "style", value))
+        return F.when(value == "", drop_attr(raw, "style")).otherwise(replace_attr(raw, "style", value))
 
     styled = raw.rlike(r"(?is)^<[a-z].*\sstyle\s*=")
     return F.when(styled, let(_style_value(attr(raw, "style"), name == "img"), apply)).otherwise(raw)
@@ -172,7 +188,7 @@ def int_dimensions(raw: Column, name: Column) -> Column:
     def fix(tag: Column, which: str) -> Column:
         number = strip(attr(tag, which)).try_cast("double")
         whole = F.when(F.abs(number) < 1e15, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("string"))
-        changed = F.when(whole.isNull(), drop_attr(tag, which)).otherwise(set_attr(tag, which, whole))
+        changed = F.when(whole.isNull(), drop_attr(tag, which)).otherwise(replace_attr(tag, which, whole))
         return F.when(has_attr(tag, which), changed).otherwise(tag)
 
     sized = (name == "img") & raw.rlike(r"(?is)\s(width|height)")
@@ -215,10 +231,11 @@ def new_name(name: Column) -> Column:
 
 def restore_images(html: Column) -> Column:
     """graphic tags back to img tags."""
-    return map_tokens(
+    swapped = map_tokens(
         html,
         lambda t: F.when(name_of(t) == "graphic", F.regexp_replace(t, r"(?i)^(</?)graphic", "$1img")).otherwise(t),
     )
+    return F.when(html.rlike(r"(?i)<graphic"), swapped).otherwise(html)
 
 
 def unwrap_links(html: Column) -> Column:
@@ -226,6 +243,11 @@ def unwrap_links(html: Column) -> Column:
     return join_tokens(F.filter(split_tokens(html), lambda t: name_of(t) != "a"))
 
 
+def has_emoji(text: Column) -> Column:
+    """Whether any emoji occurs; one character class, for skipping the rule cheaply."""
+    return text.rlike("[" + "".join(re.findall(r"\[(.*?)\]", fv.EMOJI)) + "]")
+
+
 def wrap_emoji(text: Column) -> Column:
     return F.regexp_replace(text, f"({fv.EMOJI})", '<span class="emoji">$1</span>')
 

@@ -53,32 +53,33 @@ def annotate(tokens: Column, act: Callable[[Column, Column], Column], out: Calla
     return F.transform(tokens, lambda t, i: token(t, act(t, i), out(t) if out else t["raw"]))
 
 
-def rebuild(tokens: Column, close_paragraphs: bool = False, mark_emoji: bool = False) -> Column:
+def rebuild(tokens: Column, close_paragraphs: bool = False, mark_emoji: Column | None = None) -> Column:
     """Write annotated tokens back as a well-nested fragment.
 
     ``unwrap`` drops the tags of an element and keeps its content, ``cut`` drops the element with its content.  With
     ``close_paragraphs`` a block element ends an open paragraph first.  A link inside a link ends the outer one.
+    ``mark_emoji`` says whether the row has emoji to wrap.
     """
     # names: open elements; ends: what closes each of them ('' when its tags are not written);
     # cut: stack size at which the content being cut began, 0 outside; marked: directly inside a marked emoji
     init = {"names": _no_strings(), "ends": _no_strings(), "cut": F.lit(0)}
-    if mark_emoji:
+    if mark_emoji is not None:
         init["marked"] = F.lit(False)
 
     def step(get, then, t):
         names, ends, cut = get("names"), get("ends"), get("cut")
         kind, name, act = t["kind"], t["name"], t["act"]
-        unmarked = {"marked": F.lit(False)} if mark_emoji else {}
+        unmarked = {"marked": F.lit(False)} if mark_emoji is not None else {}
 
         def text() -> Column:
-            if not mark_emoji:
+            if mark_emoji is None:
                 return t["out"]
-            return F.when((kind == "text") & ~get("marked"), m.wrap_emoji(t["out"])).otherwise(t["out"])
+            return F.when(mark_emoji & (kind == "text") & ~get("marked"), m.wrap_emoji(t["out"])).otherwise(t["out"])
 
         def push(base_names: Column, base_ends: Column, cut_now: Column, closing: Column) -> Column:
             shown = (cut_now == 0) & (act == KEEP)
             end = F.when(shown, F.concat(F.lit("</"), m.new_name(name), F.lit(">"))).otherwise("")
-            marked = {"marked": t["raw"] == _EMOJI_OPEN} if mark_emoji else {}
+            marked = {"marked": t["raw"] == _EMOJI_OPEN} if mark_emoji is not None else {}
             return then(
                 F.concat(closing, F.when(shown, t["out"]).otherwise("")),
                 names=F.array_append(base_names, name),
@@ -149,49 +150,57 @@ def fix_nested_blocks(html: Column) -> Column:
 
 def mark_emoji(html: Column) -> Column:
     """Wrap emoji of text tokens, those already marked excepted."""
-    return let(m.parse(html), lambda ts: rebuild(annotate(ts, lambda t, i: F.lit(KEEP)), mark_emoji=True))
+    wrapped = let(
+        m.parse(html), lambda ts: rebuild(annotate(ts, lambda t, i: F.lit(KEEP)), mark_emoji=F.lit(True))
+    )
+    return F.when(m.has_emoji(html), wrapped).otherwise(html)
 
 
 # --- links ----------------------------------------------------------------------------------------------------------
-def _link_target(raw: Column, base: Column) -> Column:
-    """Address a link ends up with; null when the link must be unwrapped."""
-    href = strip(m.attr_text(raw, "href"))
-
-    def decide(h: Column) -> Column:
-        resolved = urls.resolve(h, base)
-        absolute = F.when(urls.scheme(h).isin(fv.LINK_SCHEMES), h).when(
-            (F.coalesce(base, F.lit("")) != "") & urls.scheme(resolved).isin("http", "https"), resolved
-        )
-        return (
-            F.when(h == "", F.lit(None).cast("string"))
-            .when(h.startswith("#"), h)
-            .otherwise(F.replace(absolute, F.lit(" "), F.lit("%20")))
-        )
+def _link_target(href: Column, base: Column) -> Column:
+    """Address a link ends up with (``base`` holds the parts of the article's address); null: unwrap the link."""
 
-    return let(href, decide)
+    def absolute() -> Column:
+        known = urls.scheme(href).isin(fv.LINK_SCHEMES)
+        has_base = F.coalesce(base["base"], F.lit("")) != ""
+        resolved = let(urls.resolve_in(href, base), lambda r: F.when(urls.scheme(r).isin("http", "https"), r))
+        return F.replace(F.when(known, href).when(has_base, resolved), F.lit(" "), F.lit("%20"))
+
+    ready = href.startswith("#") | href.rlike(r"^https?:[^ ]*\z")
+    return F.when(ready, href).when(href != "", absolute())
 
 
 def _link_fields(t: Column, base: Column) -> Column:
     """act and out of a link token."""
-    link = (t["name"] == "a") & (t["kind"] == "open")
-    targeted = link & m.has_attr(t["raw"], "href")
-    keep_as_is = F.struct(F.lit(KEEP).alias("act"), t["raw"].alias("out"))
+    raw = t["raw"]
+
+    def fields(act: str, out: Column) -> Column:
+        return F.struct(F.lit(act).alias("act"), out.alias("out"))
 
-    def choose(target: Column) -> Column:
+    def choose(href: Column, target: Column) -> Column:
         written = F.replace(target, F.lit("&"), F.lit("&amp;"))
-        return F.when(target.isNull(), F.struct(F.lit(UNWRAP).alias("act"), t["raw"].alias("out"))).otherwise(
-            F.struct(F.lit(KEEP).alias("act"), F.when(target.startswith("#"), t["raw"]).otherwise(
-                m.set_attr(t["raw"], "href", written)).alias("out"))
+        return (
+            F.when(target.isNull(), fields(UNWRAP, raw))
+            .when(target == href, fields(KEEP, raw))
+            .otherwise(fields(KEEP, m.replace_attr(raw, "href", written)))
         )
 
-    return F.when(targeted, let(_link_target(t["raw"], base), choose)).otherwise(keep_as_is)
+    def decide(href: Column) -> Column:
+        return let(_link_target(href, base), lambda target: choose(href, target))
 
+    targeted = (t["kind"] == "open") & raw.rlike(r"(?i)[\s/]href[\s=>]")
+    valued = let(strip(m.attr_text(raw, "href")), lambda h: F.when((h == "") & ~m.has_attr(raw, "href"), fields(KEEP, raw)).otherwise(decide(h)))
+    return F.when(targeted, valued).otherwise(fields(KEEP, raw))
 
-def link_tokens(tokens: Column, base: Column, keep_link: Column | None = None) -> Column:
-    """Tokens with the link rules applied: every link unwrapped, or addresses made absolute and bad ones unwrapped."""
+
+def link_tokens_in(tokens: Column, parts: Column, keep_link: Column | None = None) -> Column:
+    """Tokens with the link rules applied: every link unwrapped, or addresses made absolute and bad ones unwrapped.
+
+    ``parts`` are the parts of the article's address.
+    """
 
     def one(t: Column) -> Column:
-        fields = _link_fields(t, base)
+        fields = _link_fields(t, parts)
         if keep_link is not None:
             fields = F.when(
                 (keep_link == "N") & (t["name"] == "a"), F.struct(F.lit(UNWRAP).alias("act"), t["raw"].alias("out"))
@@ -203,6 +212,13 @@ def link_tokens(tokens: Column, base: Column, keep_link: Column | None = None) -
     )
 
 
+def link_tokens(tokens: Column, base: Column, keep_link: Column | None = None) -> Column:
+    """The same from the article's address; everything a token needs of its row is computed once."""
+    keep = F.coalesce(keep_link, F.lit("Y")) if keep_link is not None else F.lit("Y")
+    row = F.struct(urls.base_parts(base).alias("parts"), keep.alias("keep"))
+    return let(row, lambda r: link_tokens_in(tokens, r["parts"], r["keep"] if keep_link is not None else None))
+
+
 def normalize_links(html: Column, base: Column) -> Column:
     """Absolute, space-free link addresses; links without a usable address are unwrapped."""
     return let(m.parse(html), lambda ts: rebuild(link_tokens(ts, base)))

@@ -66,24 +66,42 @@ def _join_path(base_path: Column, rel_path: Column) -> Column:
     return let(F.split(rooted, "/", -1), resolve)
 
 
-def resolve(url: Column, base: Column) -> Column:
-    """Join a reference with a base address.  Without a base only ``//host`` gets a scheme."""
-    b_scheme, b_netloc, b_path = scheme(base), netloc(base), path(base)
-    b_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+def base_parts(base: Column) -> Column:
+    """What joining needs of a base address, computed once per row."""
+    b_scheme, b_netloc = scheme(base), netloc(base)
+    root = F.when(b_scheme != "", F.concat(b_scheme, F.lit(":"))).otherwise(F.lit(""))
+    return F.struct(
+        base.alias("base"),
+        b_scheme.alias("scheme"),
+        b_netloc.alias("netloc"),
+        root.alias("root"),
+        F.concat(root, F.when(b_netloc != "", F.concat(F.lit("//"), b_netloc)).otherwise(F.lit(""))).alias("host"),
+        path(base).alias("path"),
+        F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
+    )
+
+
+def resolve_in(url: Column, b: Column) -> Column:
+    """Join a reference with the parts of a base address.  Without a base only ``//host`` gets a scheme."""
     tail = F.regexp_extract(url, r"^[^?#]*((?s:.*))", 1)
     rel_path = path(url)
-    root = F.concat(F.when(b_scheme != "", F.concat(b_scheme, F.lit(":"))).otherwise(F.lit("")))
-    host = F.concat(root, F.when(b_netloc != "", F.concat(F.lit("//"), b_netloc)).otherwise(F.lit("")))
-    joined = _join_path(b_path, rel_path)
-    slash = F.when((b_netloc != "") & ~joined.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    slash = lambda joined: F.when((b["netloc"] != "") & ~joined.startswith("/"), F.lit("/")).otherwise(F.lit(""))
     no_base = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
+    rooted = url.startswith("/") & ~url.startswith("//") & ~url.contains("/.")
+    # a scheme that differs from the base's, or an authority, makes the reference absolute
+    absolute = (scheme(url) != "") & ((scheme(url) != b["scheme"]) | (netloc(url) != ""))
     return (
-        F.when(F.coalesce(base, F.lit("")) == "", no_base)
-        .when(url == "", base)
-        .when((scheme(url) != "") & (scheme(url) != b_scheme), url)
-        .when((scheme(url) != "") & (netloc(url) != ""), url)
-        .when(url.startswith("//"), F.concat(root, url))
-        .when((scheme(url) == "") & (rel_path == "") & url.startswith("?"), F.concat(host, b_path, tail))
-        .when((scheme(url) == "") & (rel_path == ""), F.concat(host, b_path, b_query, tail))
-        .otherwise(F.concat(host, slash, joined, tail))
+        F.when(F.coalesce(b["base"], F.lit("")) == "", no_base)
+        .when(url == "", b["base"])
+        .when(rooted, F.concat(b["host"], url))
+        .when(url.startswith("//"), F.concat(b["root"], url))
+        .when(url.startswith("?"), F.concat(b["host"], b["path"], tail))
+        .when(url.startswith("#"), F.concat(b["host"], b["path"], b["query"], tail))
+        .when(absolute, url)
+        .otherwise(let(_join_path(b["path"], rel_path), lambda j: F.concat(b["host"], slash(j), j, tail)))
     )
+
+
+def resolve(url: Column, base: Column) -> Column:
+    """Join a reference with a base address."""
+    return let(base_parts(base), lambda b: resolve_in(url, b))

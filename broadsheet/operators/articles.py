@@ -20,10 +20,8 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
 def clean(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Every body cleaned under its source's rules; a narrow projection after a small-side join."""
     ruled = filters.with_source(articles, sources, ["keep_link", "exclude"])
-    return ruled.withColumn(
-        "content",
-        bodies.clean_body(F.col("content"), F.col("url"), F.col("images"), F.col("keep_link"), F.col("exclude")),
-    ).drop("keep_link", "exclude")
+    cleaned = bodies.clean_bodies(ruled, "content", "url", "images", "keep_link", "exclude", "content")
+    return cleaned.drop("keep_link", "exclude")
 
 
 def rule_warnings(sources: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fv
+from broadsheet.functions.fold import let
 from broadsheet.functions.textops import strip
 from broadsheet.operators import numbering, sizing
 from broadsheet.sources.config import option
@@ -36,7 +37,7 @@ def limit_per_source(
 
 def title_hits(title: Column, delete: Column) -> Column:
     """Whether the title holds one of the comma-separated keywords (trimmed, case-sensitive; '' matches any title)."""
-    hit = F.exists(F.split(delete, ",", -1), lambda k: title.contains(strip(k)))
+    hit = let(title, lambda t: F.exists(F.split(delete, ",", -1), lambda k: t.contains(strip(k))))
     return F.when(F.coalesce(delete, F.lit("")) == "", False).otherwise(F.coalesce(hit, F.lit(False)))
 
 
