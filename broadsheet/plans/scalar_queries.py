@@ -48,12 +48,12 @@ def f1(spark, sf):
 @query(
     "f2_content_id",
     f"""SELECT page_id, md5({norm_sql('url')}) AS by_url,
-        md5({norm_sql('url')} || '|' || left(html, 40)) AS by_title,
-        md5({norm_sql('url')} || '|' || left(html, 40) || CASE WHEN page_id % 2 = 0 THEN '|2024-01-01' ELSE '' END) AS by_date
+        md5({norm_sql('url')} || '|' || html) AS by_title,
+        md5({norm_sql('url')} || '|' || html || CASE WHEN page_id % 2 = 0 THEN '|2024-01-01' ELSE '' END) AS by_date
         FROM pages""",
 )
 def f2(spark, sf):
-    u, t = F.col("url"), F.left(F.col("html"), F.lit(40))
+    u, t = F.col("url"), F.col("html")
     day = F.when(F.col("page_id") % 2 == 0, "2024-01-01").when(F.col("page_id") % 4 == 1, "")
     return table(spark, sf, "pages").select(
         "page_id",
@@ -146,10 +146,10 @@ def f9(spark, sf):
 
 @query(
     "f10_srcset_last",
-    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'b' || page_id || '.jpg' ELSE 'a' || page_id || '.jpg' END AS picked FROM pages",
+    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'b' || md5(html) || '.jpg' ELSE 'a' || md5(html) || '.jpg' END AS picked FROM pages",
 )
 def f10(spark, sf):
-    i = F.col("page_id").cast("string")
+    i = F.md5("html")
     one = F.concat(F.lit(" a"), i, F.lit(".jpg 300w, "))
     two = F.concat(F.lit("a"), i, F.lit(".jpg 1x,\n b"), i, F.lit(".jpg 2x , "))
     return table(spark, sf, "pages").select("page_id", images.srcset_last(F.when(F.col("page_id") % 3 == 0, two).otherwise(one)).alias("picked"))
@@ -165,13 +165,16 @@ def f13(spark, sf):
     return table(spark, sf, "pages").select("page_id", textops.escape(F.col("html")).alias("escaped"))
 
 
+_FENCED = "'```markdown' || chr(10) || text || chr(10) || repeat(chr(39), 3)"
+
+
 @query(
     "f14_strip_fences",
-    f"SELECT doc_id, regexp_replace(text, '^[{_SP}]+|[{_SP}]+\\z', '', 'g') AS body FROM documents WHERE NOT regexp_matches(text, '```|''''''')",
+    f"SELECT doc_id, regexp_replace(regexp_replace({_FENCED}, {q(fv.CODE_FENCE)}, '', 'g'), '^[{_SP}]+|[{_SP}]+\\z', '', 'g') AS body FROM documents",
 )
 def f14(spark, sf):
-    d = table(spark, sf, "documents").filter(~F.col("text").rlike("```|'''"))
-    return d.select("doc_id", textops.strip_fences(F.concat(F.lit("```markdown\n"), "text", F.lit("\n'''"))).alias("body"))
+    fenced = F.concat(F.lit("```markdown\n"), "text", F.lit("\n'''"))
+    return table(spark, sf, "documents").select("doc_id", textops.strip_fences(fenced).alias("body"))
 
 
 @query(
@@ -203,7 +206,6 @@ TITLE_SQL = (
     "coalesce(" + _title_text(f"regexp_extract({_BARE}, '(?is)<title\\b[^>]*>([^<]*)</title', 1)") + ", "
     + _title_text(f"regexp_extract({_BARE}, '(?is)<h1\\b[^>]*>(.*?)</h1', 1)") + ", url)"
 )
-MAIN_SQL = f"regexp_extract({_BARE}, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1)"
 
 
 @query(
@@ -222,16 +224,15 @@ def f15(spark, sf):
 
 @query(
     "t3_daily_key",
-    "SELECT count(*) AS n, count(DISTINCT k) AS keys, min(k) AS lowest FROM (SELECT md5('://' || event_type || '|user ' || user_id || '|' || "
-    "strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d')) AS k FROM events)",
+    "SELECT event_id, md5('://' || event_type || '|user ' || user_id || '|' || "
+    "strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d')) AS content_id FROM events",
 )
 def t3(spark, sf):
     e = table(spark, sf, "events").select(
-        F.col("event_type").alias("url"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("title"),
+        "event_id", F.col("event_type").alias("url"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("title"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
-    keyed = ingest.daily_key(e, "url", "title", "ts")
-    return keyed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("content_id").alias("keys"), F.min("content_id").alias("lowest"))
+    return ingest.daily_key(e, "url", "title", "ts").select("event_id", "content_id")
 
 
 @query(
