@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import quality_rules, sharding
+from broadsheet.llm import byte_bpe, packing, quality_rules, sharding
 from broadsheet.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {
+    "op3_concat_and_cut": lambda spark, sf_dir: packing.digest(table(spark, sf_dir, "documents")),
     "op5_sampled_splitters": lambda spark, sf_dir: sharding.digest(table(spark, sf_dir, "documents")),
     "op8_rule_bitmask": lambda spark, sf_dir: quality_rules.verdicts(table(spark, sf_dir, "documents")),
+    "op9_distinct_word_bpe": lambda spark, sf_dir: byte_bpe.digest(table(spark, sf_dir, "documents")),
 }
 SQL: dict[str, str] = {"op8_rule_bitmask": quality_rules.sql()}
