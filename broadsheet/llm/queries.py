@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import byte_bpe, lang_id, packing, quality_rules, sharding
+from broadsheet.llm import byte_bpe, lang_id, packing, quality_rules, sharding, site_tree
 from broadsheet.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {
     "op2_subword_language": lambda spark, sf_dir: lang_id.digest(table(spark, sf_dir, "documents")),
     "op3_concat_and_cut": lambda spark, sf_dir: packing.digest(table(spark, sf_dir, "documents")),
+    "op4_site_style_tree": lambda spark, sf_dir: site_tree.digest(table(spark, sf_dir, "pages")),
     "op5_sampled_splitters": lambda spark, sf_dir: sharding.digest(table(spark, sf_dir, "documents")),
     "op8_rule_bitmask": lambda spark, sf_dir: quality_rules.verdicts(table(spark, sf_dir, "documents")),
     "op9_distinct_word_bpe": lambda spark, sf_dir: byte_bpe.digest(table(spark, sf_dir, "documents")),
