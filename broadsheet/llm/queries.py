@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import byte_bpe, lang_id, packing, quality_rules, sharding, site_tree
+from broadsheet.llm import byte_bpe, chosen_path, lang_id, packing, quality_rules, sharding, site_tree
 from broadsheet.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {
+    "op10_chosen_path": lambda spark, sf_dir: chosen_path.digest(table(spark, sf_dir, "documents")),
     "op2_subword_language": lambda spark, sf_dir: lang_id.digest(table(spark, sf_dir, "documents")),
     "op3_concat_and_cut": lambda spark, sf_dir: packing.digest(table(spark, sf_dir, "documents")),
     "op4_site_style_tree": lambda spark, sf_dir: site_tree.digest(table(spark, sf_dir, "pages")),
