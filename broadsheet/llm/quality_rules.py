@@ -106,6 +106,12 @@ def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
     return rows.withColumn("kept", passes(policy))
 
 
+def keep_passing(df: DataFrame, policy: str) -> DataFrame:
+    """The rows that the policy accepts, all their columns as they were."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col("text"))
+    return ledger(rows).filter(passes(policy)).select("_row.*")
+
+
 def ablation(rows: DataFrame, policy: str) -> DataFrame:
     """Per rule of the policy: rows it fails, rows only it fails (kept if it were dropped), and the bits ever seen."""
     bits = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import byte_bpe, chosen_path, lang_id, packing, quality_rules, sharding, site_tree
+import corpus_pipeline
+from broadsheet.llm import byte_bpe, chosen_path, lang_id, packing, quality_rules, sharding, site_tree, suffix_dedup
 from broadsheet.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {
@@ -11,7 +12,9 @@ QUERIES: dict[str, Query] = {
     "op3_concat_and_cut": lambda spark, sf_dir: packing.digest(table(spark, sf_dir, "documents")),
     "op4_site_style_tree": lambda spark, sf_dir: site_tree.digest(table(spark, sf_dir, "pages")),
     "op5_sampled_splitters": lambda spark, sf_dir: sharding.digest(table(spark, sf_dir, "documents")),
+    "op6_linear_grouping": lambda spark, sf_dir: suffix_dedup.digest(table(spark, sf_dir, "documents")),
     "op8_rule_bitmask": lambda spark, sf_dir: quality_rules.verdicts(table(spark, sf_dir, "documents")),
     "op9_distinct_word_bpe": lambda spark, sf_dir: byte_bpe.digest(table(spark, sf_dir, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op8_rule_bitmask": quality_rules.sql()}
