@@ -35,3 +35,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """A text column with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def bucketed(df: DataFrame, name: str, n: int, *columns: str) -> DataFrame:
+    """A staged table in ``n`` buckets: later joins and groups on the columns read it without a shuffle."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, *columns).option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)

@@ -109,7 +109,9 @@ def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
 def keep_passing(df: DataFrame, policy: str) -> DataFrame:
     """The rows that the policy accepts, all their columns as they were."""
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col("text"))
-    return ledger(rows).filter(passes(policy)).select("_row.*")
+    # the row number keeps the filter above the measurements; pushed below, it would repeat them once per mention
+    judged = ledger(rows).withColumn("_n", F.monotonically_increasing_id())
+    return judged.filter(passes(policy) & (F.col("_n") >= 0)).select("_row.*")
 
 
 def ablation(rows: DataFrame, policy: str) -> DataFrame:

@@ -28,17 +28,17 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import scratch, stage
+from broadsheet.llm.common import bucketed, stage
 from broadsheet.llm.linear_grouping import suffix_array
 
 LENGTH = 50
@@ -142,13 +142,6 @@ def _blocks(documents: DataFrame, limit: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROWS)
 
 
-def _bucketed(rows: DataFrame, n: int) -> DataFrame:
-    """A table in the shared folder, bucketed by block."""
-    spark, name = rows.sparkSession, f"suffix_blocks_{uuid.uuid4().hex}"
-    rows.write.bucketBy(n, "block").option("path", f"{scratch(spark)}/{name}").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
-
-
 def _block_runs(docs: list[tuple]) -> tuple[np.ndarray, ...]:
     """Names, contents, document numbers, first windows and ends of all runs of a block."""
     parts = []
@@ -415,7 +408,7 @@ def removed(documents: DataFrame, with_body: bool = False, block: int = BLOCK) -
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parallel = documents.sparkSession.sparkContext.defaultParallelism
     buckets = max(parallel, -(-total // BUCKET_BYTES))
-    blocks = _bucketed(_blocks(documents, block), max(parallel, -(-total // block)))
+    blocks = bucketed(_blocks(documents, block), "suffix_blocks", max(parallel, -(-total // block)), "block")
     flags = _gathered(_judge_names(_name_rows(blocks, buckets)), "cells")
     sorted_rows = stage(_sort_rows(blocks, flags, buckets), "suffix-sorted")
     judged = _gathered(_judge_windows(sorted_rows.filter("bucket >= 0")), "cells")
@@ -433,8 +426,6 @@ def remove(documents: DataFrame) -> DataFrame:
 
 
 def _whole_characters(body):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: bytes(b).decode("utf-8", "ignore"))
