@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from broadsheet.llm import byte_bpe, chosen_path, lang_id, packing, quality_rules, sharding, site_tree, suffix_dedup
+from broadsheet.llm import byte_bpe, chosen_path, collision_count, lang_id, packing, quality_rules, sharding, site_tree, suffix_dedup
 from broadsheet.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {
+    "op1_collision_counting": lambda spark, sf_dir: collision_count.digest(table(spark, sf_dir, "embeddings")),
     "op10_chosen_path": lambda spark, sf_dir: chosen_path.digest(table(spark, sf_dir, "documents")),
     "op2_subword_language": lambda spark, sf_dir: lang_id.digest(table(spark, sf_dir, "documents")),
     "op3_concat_and_cut": lambda spark, sf_dir: packing.digest(table(spark, sf_dir, "documents")),
