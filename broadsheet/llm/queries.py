@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from broadsheet.llm import byte_bpe, chosen_path, collision_count, lang_id, packing, quality_rules, sharding, site_tree, suffix_dedup
+from broadsheet.llm import byte_bpe, chosen_path, collision_count, lang_id, packing, quality_rules, sharding, site_tree, suffix_dedup, token_attribution
 from broadsheet.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op4_site_style_tree": lambda spark, sf_dir: site_tree.digest(table(spark, sf_dir, "pages")),
     "op5_sampled_splitters": lambda spark, sf_dir: sharding.digest(table(spark, sf_dir, "documents")),
     "op6_linear_grouping": lambda spark, sf_dir: suffix_dedup.digest(table(spark, sf_dir, "documents")),
+    "op7_offset_attribution": lambda spark, sf_dir: token_attribution.digest(table(spark, sf_dir, "documents")),
     "op8_rule_bitmask": lambda spark, sf_dir: quality_rules.verdicts(table(spark, sf_dir, "documents")),
     "op9_distinct_word_bpe": lambda spark, sf_dir: byte_bpe.digest(table(spark, sf_dir, "documents")),
     "pipeline": corpus_pipeline.run,
