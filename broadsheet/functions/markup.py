@@ -68,9 +68,13 @@ def map_tokens(html: Column, f: Callable[[Column], Column]) -> Column:
 
 
 # --- attributes -----------------------------------------------------------------------------------------------------
+def _others(name: str) -> str:
+    """The attributes before the first one of that name; possessive, so a tag of any length is read in a loop."""
+    return rf"(?:[\s/]+(?!{name}[\s=/>]){_ATTR})*+"
+
+
 def _attr_pattern(name: str, value: str) -> str:
-    skipped = rf"(?:[\s/]+{_ATTR})*?"
-    return rf"(?is)^<[a-z][^\s/>]*{skipped}[\s/]+{name}{value}"
+    return rf"(?is)^<[a-z][^\s/>]*+{_others(name)}[\s/]+{name}{value}"
 
 
 def attr(raw: Column, name: str) -> Column:
@@ -89,7 +93,7 @@ def has_attr(raw: Column, name: str) -> Column:
 
 
 def drop_attr(raw: Column, name: str) -> Column:
-    return F.regexp_replace(raw, rf"(?is)^(<[a-z][^\s/>]*(?:[\s/]+{_ATTR})*?)[\s/]+{name}(?:\s*=\s*(?:{_VALUE})|(?=[\s/>]))", "$1")
+    return F.regexp_replace(raw, rf"(?is)^(<[a-z][^\s/>]*+{_others(name)})[\s/]+{name}(?:\s*=\s*(?:{_VALUE})|(?=[\s/>]))", "$1")
 
 
 def replace_attr(raw: Column, name: str, value: Column) -> Column:
@@ -187,7 +191,10 @@ def int_dimensions(raw: Column, name: Column) -> Column:
     """Whole-number width and height on images; unreadable or blank values lose the attribute."""
     def fix(tag: Column, which: str) -> Column:
         number = strip(attr(tag, which)).try_cast("double")
-        whole = F.when(F.abs(number) < 1e15, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("string"))
+        small = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("string")
+        readable = ~F.isnan(number) & (F.abs(number) < float("inf"))
+        # beyond whole doubles every value is whole already
+        whole = F.when(F.abs(number) < 1e15, small).when(readable, F.format_string("%.0f", number))
         changed = F.when(whole.isNull(), drop_attr(tag, which)).otherwise(replace_attr(tag, which, whole))
         return F.when(has_attr(tag, which), changed).otherwise(tag)
 

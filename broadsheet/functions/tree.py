@@ -226,15 +226,17 @@ def normalize_links(html: Column, base: Column) -> Column:
 
 # --- small icons in links -------------------------------------------------------------------------------------------
 def _small_image(raw: Column) -> Column:
+    def small(digits: Column) -> Column:
+        plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+        return (F.length(plain) < 10) & (plain.try_cast("int") <= fv.SMALL_ICON_PX)
+
     def tiny(which: str) -> Column:
         value = m.attr(raw, which)
-        return value.rlike(r"^[0-9]{1,9}\z") & (value.try_cast("int") <= fv.SMALL_ICON_PX)
+        return value.rlike(r"^[0-9]+\z") & small(value)
 
     style = F.lower(m.attr(raw, "style"))
     pixels = F.regexp_extract_all(style, F.lit(r"([0-9]+)px"), F.lit(1))
-    in_style = style.contains("width") & F.exists(
-        pixels, lambda p: (F.length(p) < 10) & (p.try_cast("int") <= fv.SMALL_ICON_PX)
-    )
+    in_style = style.contains("width") & F.exists(pixels, small)
     return F.coalesce(tiny("width") | tiny("height") | in_style, F.lit(False))
 
 

@@ -56,14 +56,12 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(spark: SparkSession, new_ids: DataFrame, path: str, run_id: int) -> None:
-    """Write the ids of one run into that run's partition; a repeated run overwrites itself, an empty one writes nothing.
+    """Write the ids of one run into that run's partition; a repeated run overwrites itself, an empty one leaves it empty.
 
     ``new_ids`` (content_id, ord) must not be computed from that same partition.
     """
-    rows = new_ids.select("content_id", F.col("ord").cast("bigint").alias("ord"), F.lit(run_id).cast("bigint").alias("run_id"))
-    (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-    )
+    rows = new_ids.select("content_id", F.col("ord").cast("bigint").alias("ord"))
+    rows.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
 # --- duplicates -----------------------------------------------------------------------------------------------------

@@ -102,8 +102,11 @@ def summaries(rows: DataFrame) -> DataFrame:
 
 
 def page_bodies(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Body and images of the landed pages that are linked (url unique): url, body, page_images."""
-    wanted = pages.join(links.distinct(), "url", "left_semi")
+    """Body and images of the landed pages that are linked: url, body, page_images.
+
+    A url that landed more than once counts once, with the least html in string order.
+    """
+    wanted = pages.join(links.distinct(), "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
     url, html = F.col("url"), F.col("html")
     return wanted.select(
         "url",

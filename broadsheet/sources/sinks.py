@@ -3,16 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_edition(tables: dict[str, DataFrame], path: str, edition_date: str) -> None:
     """Write every table under ``path/<name>``; writing an edition again replaces only that edition."""
     for name, table in tables.items():
-        dated = table.withColumn("edition_date", F.lit(edition_date).cast("date"))
-        (
-            dated.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("edition_date")
-            .parquet(f"{path}/{name}")
-        )
+        # the partition's own folder: an empty table replaces its rows, too
+        table.write.mode("overwrite").parquet(f"{path}/{name}/edition_date={edition_date}")

@@ -36,15 +36,10 @@ def ingest(
         session = batch.sparkSession
         known = ledger.read(session, ledger_path).filter(F.col("run_id") != batch_id)
         new = ledger.new_articles(ledger.with_ids(batch), known)
-        (
-            new.withColumn("run_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id")
-            .parquet(out_path)
-        )
-        # ids come from the written rows, so articles and ledger cannot differ
-        written = session.read.parquet(out_path).filter(F.col("run_id") == batch_id)
+        folder = f"{out_path}/run_id={batch_id}"
+        new.write.mode("overwrite").parquet(folder)
+        # ids come from the written rows, so articles and ledger cannot differ; a batch without news is an empty folder
+        written = session.read.schema(new.schema).parquet(folder)
         order = F.col("source_pos").cast("bigint") * 2**32 + F.col("item_pos")
         ledger.append(session, written.select("content_id", order.alias("ord")), ledger_path, batch_id)
 
