@@ -60,13 +60,3 @@ def error_log(runs: DataFrame, sources: DataFrame) -> DataFrame:
             F.lit("["), F.col("type"), F.lit("] "), F.col("src"), F.lit(": "), F.coalesce(F.col("error"), F.lit("None"))
         ).alias("line"),
     )
-
-
-def join_errors(messages: DataFrame) -> DataFrame:
-    """Messages of one source joined by '; ' in order, with their number (messages: source_pos, pos, message)."""
-    return messages.groupBy("source_pos").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "message"))), lambda m: m["message"]), "; ").alias("error"),
-        F.count(F.lit(1)).cast("int").alias("error_count"),
-    )
-
-
