@@ -66,9 +66,12 @@ def sections(articles: DataFrame, runs: DataFrame, sources: DataFrame) -> DataFr
 
 def number_chapters(articles: DataFrame, section_table: DataFrame, width: int = numbering.WIDTH) -> DataFrame:
     """Articles with section_no and chapter_no (0-based across the edition)."""
-    placed = articles.join(sizing.small(section_table.select("source_pos", "section_no", "first_chapter")), "source_pos")
-    ranked = numbering.running_number(placed, ["section_no"], [], "item_pos", "_rank", width)
-    return ranked.withColumn("chapter_no", F.col("first_chapter") + F.col("_rank")).drop("_rank", "first_chapter")
+    # only row keys are ranked; bodies move once, on the unique key
+    places = section_table.select("source_pos", "section_no", "first_chapter")
+    keys = articles.select("source_pos", "item_pos").join(places, "source_pos")
+    ranked = numbering.running_number(keys, ["section_no"], [], "item_pos", "_rank", width)
+    numbers = ranked.select("source_pos", "item_pos", "section_no", (F.col("first_chapter") + F.col("_rank")).alias("chapter_no"))
+    return articles.join(numbers, ["source_pos", "item_pos"])
 
 
 def chapter_file(n: Column) -> Column:
