@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import tokens
-from broadsheet.llm.common import stage
+from broadsheet.llm.common import bucketed
 
 BLOCK = 24 << 20
 #: text bytes whose distinct words fill one hash bucket
@@ -87,16 +87,18 @@ def _pack_documents(docs: list[int], lengths: list[int], positions: array) -> by
     for k in range(5):
         more = size > k
         out[at[more] + k] = (p[more] >> (7 * k) & 127) | ((size[more] > k + 1) << 7)
-    head = json.dumps([len(docs), len(p)]).encode() + b"\n"
-    doc = np.array(docs, dtype="<i8")
+    head = json.dumps([len(docs), [k for k, d in enumerate(docs) if d is None]]).encode() + b"\n"
+    doc = np.array([d or 0 for d in docs], dtype="<i8")
     return zstandard.compress(head + doc.tobytes() + np.array(lengths, dtype="<u8").tobytes() + out.tobytes(), 3)
 
 
-def _unpack_documents(payload: bytes) -> tuple[list[int], list[int], np.ndarray]:
+def _unpack_documents(payload: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
     raw = zstandard.decompress(payload)
     head, _, body = raw.partition(b"\n")
-    n, _ = json.loads(head)
+    n, nameless = json.loads(head)
     docs = np.frombuffer(body, "<i8", n).tolist()
+    for k in nameless:
+        docs[k] = None
     lengths = np.frombuffer(body, "<u8", n, 8 * n).tolist()
     b = np.frombuffer(body, np.uint8, -1, 16 * n).astype(np.uint32)
     last = np.flatnonzero(b < 128)
@@ -215,5 +217,6 @@ def digest(documents: DataFrame, raw: bytes | None = None, limit: int = BLOCK) -
     raw = tokens.rank_file(tokens.MULTI) if raw is None else raw
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(documents.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
-    made = stage(blocks(documents, buckets, limit), "bpe-blocks")
+    # bucketed by block, so that the documents meet their ids where they lie
+    made = bucketed(blocks(documents, buckets, limit), "bpe_blocks", max(documents.sparkSession.sparkContext.defaultParallelism, -(-total // limit)), "block")
     return assemble(made.filter("bucket = -1"), encode_words(made.filter("bucket >= 0"), raw), raw)
