@@ -13,7 +13,6 @@ from broadsheet import fixed_values as fv
 from broadsheet.functions import images
 from broadsheet.functions import markup as m
 from broadsheet.functions.fold import let
-from broadsheet.operators import skew
 
 
 def image_refs(chapters: DataFrame, keys: list[str], html: str) -> DataFrame:
@@ -54,14 +53,14 @@ def _local_tag(raw: Column, local: Column) -> Column:
 
 
 def rewrite(
-    chapters: DataFrame, assets: DataFrame, keys: list[str], html: str = "html", hot_rows: int = skew.HOT_ROWS
+    chapters: DataFrame, assets: DataFrame, keys: list[str], html: str = "html"
 ) -> DataFrame:
     """Chapters with every image tag pointing at its local file; tags without a file are dropped.
 
-    Each chapter asks once per distinct source.  A source shown by very many chapters is spread over partitions.
+    Each chapter asks once per distinct source.  A source shown by very many chapters is split by adaptive execution.
     """
     wanted = image_refs(chapters, keys, html).select(*keys, "src").distinct()
-    found = skew.join_hot(wanted, assets.select("src", "filename"), "src", "inner", hot_rows)
+    found = wanted.join(assets.select("src", "filename"), "src")
     local = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("src", "filename"))).alias("_local"))
     none = F.create_map().cast("map<string,string>")
     body = F.col(html)

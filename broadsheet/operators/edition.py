@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from broadsheet import fixed_values as fv
 from broadsheet.functions import urls
 from broadsheet.functions.textops import blank_to_null, escape
-from broadsheet.operators import numbering, sizing, stats
+from broadsheet.operators import numbering, stats
 
 PART_ENTRIES = 512
 
@@ -104,7 +104,7 @@ def toc(section_table: DataFrame, chapters: DataFrame) -> DataFrame:
         F.col("section_title").alias("title"),
     )
     nested = section_table.filter(~is_flat()).select("section_no")
-    entries = chapters.join(sizing.small(nested), "section_no", "left_semi").select(
+    entries = chapters.join(nested, "section_no", "left_semi").select(
         "section_no",
         F.lit(2).alias("level"),
         "chapter_no",

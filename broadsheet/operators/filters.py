@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from broadsheet import fixed_values as fv
 from broadsheet.functions.fold import let
 from broadsheet.functions.textops import strip
-from broadsheet.operators import numbering, sizing
+from broadsheet.operators import numbering
 from broadsheet.sources.config import option
 
 
 def with_source(articles: DataFrame, sources: DataFrame, columns: list[str]) -> DataFrame:
     """Article rows with columns of their source's configuration."""
-    return articles.join(sizing.small(sources.select("source_pos", *columns)), "source_pos")
+    return articles.join(sources.select("source_pos", *columns), "source_pos")
 
 
 def limit_per_source(
@@ -28,7 +28,7 @@ def limit_per_source(
         "source_pos",
         F.coalesce(option(F.col("metadata"), "limit", "int"), F.lit(global_limit)).alias("_limit"),
     )
-    limited = articles.join(sizing.small(limits), "source_pos")
+    limited = articles.join(limits, "source_pos")
     if dense:
         return limited.filter(F.col("item_pos") < F.col("_limit")).drop("_limit")
     top = limits.agg(F.max("_limit")).first()[0]

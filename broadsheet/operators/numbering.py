@@ -35,18 +35,10 @@ def running_number(
     )
 
 
-def first_n(
-    df: DataFrame, group: list[str], pos: str, limit: str, max_limit: int, width: int = WIDTH, direct_up_to: int = 10_000
-) -> DataFrame:
+def first_n(df: DataFrame, group: list[str], pos: str, limit: str, max_limit: int) -> DataFrame:
     """Rows whose rank by ``pos`` inside ``group`` is at most the ``limit`` column (bounded by ``max_limit``).
 
-    Up to ``direct_up_to`` the literal bound lets each task drop all but its first ``max_limit`` rows per group before
-    the shuffle.  Beyond that the bucket offsets decide.
+    The literal bound lets each task drop all but its first ``max_limit`` rows per group before the shuffle.
     """
-    if max_limit <= direct_up_to:
-        rank = F.row_number().over(W.partitionBy(*group).orderBy(pos))
-        return (
-            df.withColumn("_rn", rank).filter(F.col("_rn") <= max_limit).filter(F.col("_rn") <= F.col(limit)).drop("_rn")
-        )
-    numbered = running_number(df, group, [], pos, "_no", width)
-    return numbered.filter(F.col("_no") < F.col(limit)).drop("_no")
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(pos))
+    return df.withColumn("_rn", rank).filter(F.col("_rn") <= max_limit).filter(F.col("_rn") <= F.col(limit)).drop("_rn")

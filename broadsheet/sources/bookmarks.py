@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fv
 from broadsheet.functions.textops import blank_to_null
-from broadsheet.operators import filters, skew
+from broadsheet.operators import filters
 from broadsheet.sources import registry
 from broadsheet.sources.feeds import page_bodies
 
@@ -22,7 +22,6 @@ def parse(
     pages: DataFrame | None,
     sources: DataFrame,
     global_limit: int = fv.DEFAULT_LIMIT,
-    hot_rows: int = skew.HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """First bookmarks as articles; the page body replaces the excerpt where full text is asked for and found."""
     read = payloads.select("source_pos", F.from_json("payload", _RESPONSE).alias("r"))
@@ -46,7 +45,7 @@ def parse(
         flagged = filters.with_source(rows, sources, ["full_text"])
         full = flagged.filter(F.col("full_text") == "Y").drop("full_text")
         bodies = page_bodies(pages, full.select("url")).select("url", blank_to_null(F.col("body")).alias("body"))
-        joined = skew.join_hot(full, bodies, "url", "left", hot_rows)
+        joined = full.join(bodies, "url", "left")
         full = joined.withColumn("content", F.coalesce("body", "content")).drop("body")
         rows = flagged.filter(F.col("full_text") != "Y").drop("full_text").unionByName(full)
     return registry.as_articles(rows), registry.as_runs(runs)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from broadsheet import fixed_values as fv
 from broadsheet.functions import clean, dates, images
 from broadsheet.functions.textops import first_filled, strip
-from broadsheet.operators import filters, sizing, skew
+from broadsheet.operators import filters
 from broadsheet.sources import registry
 from broadsheet.sources.config import option
 
@@ -68,10 +68,8 @@ def parse_feed(payloads: DataFrame, sources: DataFrame, global_limit: int = fv.D
         ).alias("error"),
         F.when(F.size("items") > 0, F.col("source_title")).alias("source_title"),
     )
-    config = sizing.small(
-        sources.select(
-            "source_pos", F.coalesce(option(F.col("metadata"), "limit", "int"), F.lit(global_limit)).alias("_limit")
-        )
+    config = sources.select(
+        "source_pos", F.coalesce(option(F.col("metadata"), "limit", "int"), F.lit(global_limit)).alias("_limit")
     )
     first = feeds.join(config, "source_pos").select(
         "source_pos", F.posexplode(F.slice("items", 1, F.greatest(F.col("_limit"), F.lit(0)))).alias("item_pos", "e")
@@ -115,16 +113,16 @@ def page_bodies(pages: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def enrich_full_text(rows: DataFrame, pages: DataFrame, sources: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def enrich_full_text(rows: DataFrame, pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources with full_text = Y take body and images from the page behind the link; no page means no article.
 
-    A link shared by very many articles is spread over several partitions.
+    A link shared by very many articles is split by adaptive execution.
     """
     flagged = filters.with_source(rows, sources, ["full_text"])
     full = flagged.filter(F.col("full_text") == "Y").drop("full_text")
     own = flagged.filter(F.col("full_text") != "Y").drop("full_text")
     bodies = page_bodies(pages, full.select("url"))
-    joined = skew.join_hot(full.drop("content", "images"), bodies, "url", "inner", hot_rows)
+    joined = full.drop("content", "images").join(bodies, "url")
     enriched = joined.filter(F.col("body") != "").withColumnsRenamed({"body": "content", "page_images": "images"})
     return summaries(own).unionByName(registry.as_articles(enriched))
 
