@@ -114,15 +114,21 @@ def union_new(ledger: DataFrame, new_ids: DataFrame) -> DataFrame:
 def cutoff(ledger: DataFrame, cap: int = fv.LEDGER_CAP, width: int = numbering.WIDTH) -> DataFrame:
     """One row ``(run_id, ord)``: the oldest record to keep; no row when the ledger is within the cap.
 
-    Records are counted per run and bucket; only the one bucket that straddles the cap is ranked.
+    Records are counted per run first, then per bucket of the one run that straddles the cap; only the one bucket that
+    straddles it is ranked.
     """
     from pyspark.sql import Window as W
 
     keyed = ledger.select("run_id", "ord", numbering.bucket("ord", width).alias("_b"))
-    counts = keyed.groupBy("run_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    newest = W.orderBy(F.desc("run_id"), F.desc("_b")).rowsBetween(W.unboundedPreceding, 0)
-    running = counts.withColumn("_upto", F.sum("_n").over(newest))
-    edge = running.filter((F.col("_upto") > cap) & (F.col("_upto") - F.col("_n") <= cap)).select(
+
+    def straddling(counts: DataFrame, window) -> DataFrame:
+        running = counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, 0)))
+        return running.filter((F.col("_upto") > cap) & (F.col("_upto") - F.col("_n") <= cap))
+
+    per_run = keyed.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.lit(0))
+    run = straddling(per_run, W.orderBy(F.desc("run_id"))).select("run_id", (F.col("_upto") - F.col("_n")).alias("_before"))
+    per_bucket = keyed.join(run, "run_id").groupBy("run_id", "_b", "_before").agg(F.count(F.lit(1)).alias("_n"))
+    edge = straddling(per_bucket, W.partitionBy("run_id").orderBy(F.desc("_b"))).select(
         "run_id", "_b", (cap - (F.col("_upto") - F.col("_n"))).alias("_room")
     )
     # a bucket with no room left is dropped whole: the record after it is the first to keep
