@@ -99,35 +99,39 @@ def page_title(html: Column, source_title: Column, src: Column) -> Column:
 
 
 def _text_share(html: Column) -> Column:
-    """Drop text runs between block tags in which more than the allowed share of the characters is link text."""
+    """Drop text runs between block tags in which more than the allowed share of the characters is link text.
 
-    def step(get, then, t):
+    The first pass reads lengths only and writes one digit per run (1: dropped); the second copies the tokens of the other runs.
+    """
+    def is_boundary(t: Column) -> Column:
+        return t["name"].isin(*fv.BLOCK_TAGS, *fv.TABLE_PART_TAGS, "body", "html")
+
+    def verdict(get) -> Column:
+        dense = (get("linked") > MAX_LINK_SHARE * get("total")) & (get("total") > 0)
+        return F.when(dense, "1").otherwise("0")
+
+    def measure(get, then, t):
         kind, name = t["kind"], t["name"]
         in_link = get("link")
         n = F.when(kind == "text", F.length(strip(t["raw"]))).otherwise(0)
-        boundary = name.isin(*fv.BLOCK_TAGS, *fv.TABLE_PART_TAGS, "body", "html")
-        dense = get("linked") > MAX_LINK_SHARE * get("total")
-        flushed = F.when(dense & (get("total") > 0), "").otherwise(F.array_join(get("run"), ""))
         opened = F.when((name == "a") & (kind == "open"), True).when((name == "a") & (kind == "close"), False).otherwise(in_link)
-        return F.when(
-            boundary,
-            then(
-                F.concat(flushed, t["raw"]), run=F.array().cast("array<string>"), total=F.lit(0), linked=F.lit(0),
-                link=F.lit(False),
-            ),
-        ).otherwise(
-            then(
-                F.lit(""), run=F.array_append(get("run"), t["raw"]), total=get("total") + n,
-                linked=get("linked") + F.when(in_link, n).otherwise(0), link=opened,
-            )
-        )
+        counted = then(F.lit(""), total=get("total") + n, linked=get("linked") + F.when(in_link, n).otherwise(0), link=opened)
+        return F.when(is_boundary(t), then(verdict(get), total=F.lit(0), linked=F.lit(0), link=F.lit(False))).otherwise(counted)
 
-    def finish(get) -> Column:
-        dense = (get("linked") > MAX_LINK_SHARE * get("total")) & (get("total") > 0)
-        return F.when(dense, "").otherwise(F.array_join(get("run"), ""))
+    def write(verdicts: Column):
+        def step(get, then, t):
+            kept = F.when(F.get(verdicts, get("run")) == "1", "").otherwise(t["raw"])
+            return F.when(is_boundary(t), then(t["raw"], run=get("run") + 1)).otherwise(then(kept))
+
+        return step
+
+    init = {"total": F.lit(0), "linked": F.lit(0), "link": F.lit(False)}
+
+    def both(ts: Column) -> Column:
+        digits = F.split(fold_emit(ts, init, measure, verdict), "")
+        return let(digits, lambda v: fold_emit(ts, {"run": F.lit(0)}, write(v), lambda get: F.lit("")))
 
-    init = {"run": F.array().cast("array<string>"), "total": F.lit(0), "linked": F.lit(0), "link": F.lit(False)}
-    return let(m.parse(html), lambda ts: fold_emit(ts, init, step, finish))
+    return let(m.parse(html), both)
 
 
 def _has_content(html: Column) -> Column:

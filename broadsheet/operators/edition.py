@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fv
-from broadsheet.functions import urls
+from broadsheet.functions import markup, urls
 from broadsheet.functions.textops import blank_to_null, escape
 from broadsheet.operators import numbering, stats
 
@@ -201,7 +201,7 @@ def render_chapters(chapters: DataFrame) -> DataFrame:
         line(escape(F.col("author")), "<p class='author'>作者: ", "</p>"),
         line(F.col("published_date"), "<p class='date'>日期: ", "</p>"),
         F.lit("<div class='content'>"),
-        F.coalesce(F.col("content"), F.lit("")),
+        markup.emoji_to_images(F.coalesce(F.col("content"), F.lit(""))),
         F.lit("</div>"),
         F.when(
             urls.is_web(F.col("url")),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fv
+from broadsheet.functions import markup
 from broadsheet.operators import edition
-from broadsheet.plans.catalog import ARTICLES_SQL, RUNS_SQL, SOURCES_SQL, articles, q, query, runs, sources
+from broadsheet.plans.catalog import ARTICLES_SQL, RUNS_SQL, SOURCES_SQL, articles, q, query, runs, sources, suffixed, table
+from broadsheet.streaming import ingest
 
 _FLAT = ", ".join(q(t) for t in fv.FLAT_TYPES)
 
@@ -85,3 +87,21 @@ def link_check(spark, sf):
 def section_index(spark, sf):
     parts = edition.section_index(_tables(spark, sf)[1]).select("section_no", F.explode("entries").alias("e"))
     return parts.select("section_no", "e.chapter_no", F.md5("e.title").alias("title"), "e.file_name")
+
+
+@query(
+    "x24_emoji_images",
+    """SELECT page_id, html || '<img src="images/emoji_1f600.png" alt="😀" class="emoji" style="STYLE">' || page_id AS html FROM pages""".replace("STYLE", fv.EMOJI_IMAGE_STYLE),
+)
+def emoji_images(spark, sf):
+    marked = suffixed(spark, sf, '<span class="emoji">😀</span>{id}')
+    return marked.select("page_id", markup.emoji_to_images(F.col("html")).alias("html"))
+
+
+@query(
+    "t4_daily_counts",
+    "SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def daily_counts(spark, sf):
+    events = table(spark, sf, "events")
+    return ingest.daily_counts(events, "ts", "event_type")

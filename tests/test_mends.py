@@ -65,3 +65,12 @@ def test_large_and_unreadable_sizes(spark):
 def test_leading_zeros_of_small_icons(spark):
     df = spark.createDataFrame([('<img width="0000000000016">', True), ('<img width="00000000000160">', False), ('<img width="99999999999">', False)], "raw string, want boolean")
     assert all(r.got == r.want for r in df.select(tree._small_image(F.col("raw")).alias("got"), "want").collect())
+
+
+def test_link_dense_runs_of_long_pages(spark):
+    from broadsheet.functions import clean
+
+    body = "".join(f"<i>w{k}</i> " for k in range(6000))
+    page = f"<p>{body}</p><p><a>all of it links</a></p><p>some text <a>a</a></p>"
+    got = spark.createDataFrame([(page,)], "html string").select(clean._text_share(F.col("html")).alias("x")).first().x
+    assert got == f"<p>{body}</p><p></p><p>some text <a>a</a></p>"
