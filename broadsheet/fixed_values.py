@@ -114,3 +114,7 @@ FORECAST_PARAGRAPHS = [
     ("月出/月落", "{moonrise} / {moonset}（月相：{moonPhase}，{moonPhaseIcon}）"),
     ("紫外线指数", "{uvIndex}"),
 ]
+# Errors of a forecast without the wanted day.
+FORECAST_TOO_SHORT = "Insufficient forecast data (at least 2 days needed for tomorrow default)."
+FORECAST_NO_TOMORROW = "Tomorrow's forecast is not available."
+FORECAST_NO_DAY_AFTER = "Day after tomorrow's forecast is not available."

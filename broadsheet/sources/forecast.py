@@ -83,11 +83,15 @@ def parse(payloads: DataFrame, sources: DataFrame, report_url: str = REPORT_URL)
             F.coalesce(F.col(f"{r}.msg"), F.lit("Unknown error")),
         )
 
+    asked = F.lower(strip(F.col("wanted")))
     error = (
         F.when(F.coalesce(F.col("g.code"), F.lit("")) != "200", api_error("g", "geo lookup"))
         .when(~F.col("located"), F.concat(F.lit("Could not resolve city '"), F.col("src"), F.lit("' via GeoAPI.")))
         .when(F.coalesce(F.col("d.code"), F.lit("")) != "200", api_error("d", "weather"))
         .when(F.coalesce(F.size("d.daily"), F.lit(0)) <= 0, "No forecast data available.")
+        .when(F.col("day").isNull() & F.col("wanted").isNull(), fv.FORECAST_TOO_SHORT)
+        .when(F.col("day").isNull() & asked.isin("tomorrow", "1"), fv.FORECAST_NO_TOMORROW)
+        .when(F.col("day").isNull() & (asked == "2"), fv.FORECAST_NO_DAY_AFTER)
         .when(
             F.col("day").isNull(),
             F.concat(F.lit("Could not find forecast for date or index '"), F.coalesce("wanted", F.lit("tomorrow")), F.lit("'.")),
