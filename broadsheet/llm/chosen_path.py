@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import stage
+from broadsheet.llm.common import bucketed, stage
 from broadsheet.llm.components import components
 
 TREES = 12
@@ -79,22 +79,24 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return least
 
 
-SETS = "doc_id long, n_shingles long, set_key binary, sketch array<int>"
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.list_(pa.int32()))])
+SETS = "doc_id long, n_shingles long, set_key binary, sketch array<int>, sign binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.list_(pa.int32())), ("sign", pa.binary())])
 
 
 def sets_of(documents: DataFrame, words_per: int) -> DataFrame:
-    """Set size, set identity and minwise tokens of every document."""
+    """Set size, set identity and minwise tokens of every document, and the low byte of each token as its sign."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, sketches = [], [], []
+            sizes, keys, sketches, signs = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), words_per)
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sketches.append(minwise(s).view(np.int32) if len(s) else None)
-            ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int32()))], schema=_SETS)
+                least = minwise(s) if len(s) else None
+                sketches.append(None if least is None else least.view(np.int32))
+                signs.append(None if least is None else (least & 255).astype(np.uint8).tobytes())
+            cells = (batch.column(0), sizes, keys, sketches, signs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, _SETS.types)], schema=_SETS)
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
 
@@ -113,7 +115,8 @@ def bodies(documents: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, documents: DataFrame, words_per: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage(bodies(documents).join(needed, "doc_id").dropDuplicates(["doc_id"]), "bodies")
+    # ids of pairs grow with the table: they are never broadcast, at any size
+    texts = stage(bodies(documents).join(needed.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "bodies")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
 
@@ -148,8 +151,8 @@ def _leaf_pairs(nodes: DataFrame) -> DataFrame:
             for k in range(len(members)):
                 m = members[k].values
                 doc, comp = m.field("doc").to_numpy(), m.field("comp").to_numpy()
-                sketch = m.field("sketch").flatten().to_numpy().reshape(len(doc), POSITIONS)
-                same = (sketch[:, None, :] == sketch[None, :, :]).sum(axis=2)
+                sign = np.frombuffer(b"".join(m.field("sign").to_pylist()), np.uint8).reshape(len(doc), POSITIONS)
+                same = (sign[:, None, :] == sign[None, :, :]).sum(axis=2)
                 i, j = np.nonzero(np.triu((same >= AGREE) & (comp[:, None] != comp[None, :]), 1))
                 out_a += np.minimum(doc[i], doc[j]).tolist()
                 out_b += np.maximum(doc[i], doc[j]).tolist()
@@ -167,8 +170,8 @@ def _with_counts(rows: DataFrame) -> DataFrame:
 
 
 def _members(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    full = rows.select("node", "doc", "comp").join(sketches, "doc")
-    return full.groupBy("node").agg(F.collect_list(F.struct("doc", "comp", "sketch")).alias("members")).select("members")
+    full = rows.select("node", "doc", "comp").join(sketches.select("doc", "sign"), "doc")
+    return full.groupBy("node").agg(F.collect_list(F.struct("doc", "comp", "sign")).alias("members")).select("members")
 
 
 def _branch(rows: DataFrame, sketches: DataFrame, level: int) -> DataFrame:
@@ -176,7 +179,7 @@ def _branch(rows: DataFrame, sketches: DataFrame, level: int) -> DataFrame:
     at = lambda salt: F.pmod(F.xxhash64(F.lit(level), F.lit(salt), "node"), F.lit(POSITIONS)).cast("int")
     second = F.pmod(F.xxhash64(F.lit(level), F.lit(2), "node"), F.lit(4)) == 0
     chosen = F.when(second, F.array(at(0), at(1))).otherwise(F.array(at(0)))
-    rows = rows.select("node", "doc", "comp", F.explode(F.array_distinct(chosen)).alias("_p")).join(sketches, "doc")
+    rows = rows.select("node", "doc", "comp", F.explode(F.array_distinct(chosen)).alias("_p")).join(sketches.select("doc", "sketch"), "doc")
     return rows.select(F.xxhash64("node", "_p", F.get("sketch", F.col("_p"))).alias("node"), "doc", "comp")
 
 
@@ -190,7 +193,7 @@ def _blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def links_between(classes: DataFrame, documents: DataFrame, words_per: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join the classes (doc, sketch) into their components."""
+    """Confirmed links (a, b) that join the classes (doc, sketch, sign) into their components."""
     tokens = classes.select(F.col("doc"), F.posexplode(F.slice("sketch", 1, TREES)).alias("tree", "token"))
     rows = tokens.select(F.xxhash64("tree", "token").alias("node"), "doc")
     nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("leader")).filter("n > 1")
@@ -202,7 +205,7 @@ def links_between(classes: DataFrame, documents: DataFrame, words_per: int, perc
 
     rows = shared.select("node", "doc").join(comp.select(F.col("id").alias("doc"), "component"), "doc", "left")
     rows = rows.select("node", "doc", F.coalesce("component", "doc").alias("comp"))
-    sketches = classes.select("doc", "sketch")
+    sketches = classes.select("doc", "sketch", "sign")
     found: list[DataFrame] = []
     last: DataFrame | None = None
     for level in range(1, DEPTH + 1):
@@ -247,9 +250,12 @@ def near_duplicates(documents: DataFrame, words_per: int = 5, percent: int = 80)
     sets = stage(sets_of(documents, words_per), "sets")
     usable = sets.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     # copies are merged within each task before anything moves
-    least = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("_l"))
-    classes = stage(least.select("set_key", F.col("_l.doc_id").alias("doc"), F.col("_l.sketch").alias("sketch")), "classes")
-    links = links_between(classes.select("doc", "sketch"), documents, words_per, percent)
+    least = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch", "sign")).alias("_l"))
+    classes = least.select("set_key", F.col("_l.doc_id").alias("doc"), F.col("_l.sketch").alias("sketch"), F.col("_l.sign").alias("sign"))
+    # every level joins the minwise tokens again: in buckets they stay where they are
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = bucketed(classes.repartition(n, "doc"), "classes", n, "doc")
+    links = links_between(classes, documents, words_per, percent)
     comp = components(links, "a", "b").select(F.col("id").alias("doc"), "component")
     resolved = stage(classes.select("set_key", "doc").join(comp, "doc", "left").select("set_key", F.coalesce("component", "doc").alias("_c")), "resolved")
     rows = sets.select("doc_id", "n_shingles", "set_key").join(resolved, "set_key", "left")
