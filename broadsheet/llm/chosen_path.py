@@ -11,9 +11,9 @@ probability 1 - (1 - s) ** TREES: over 0.99999999 at s = 0.8.
 
 Two rounds keep large groups linear.  Round one links every class to the least class of its node where half of the trees
 agree; groups of near copies become stars.  Nodes that then lie inside one component have nothing left to find.  Round two
-compares the others: pairs inside leaves across components, the least class of every large node, and the branches below.
-Nodes that are still too large at the last level are compared block by block.  A pair becomes a link only after the whole sets
-are compared.
+compares the others: pairs inside leaves across components, at every level of the branches.  Nodes that are still too large at the
+last level hold sets that are alike without being links; they are compared block by block, inside the tasks.  A pair becomes a
+link only after the whole sets are compared.
 
 No group is gathered in one task beyond a leaf or a block; documents, links and components never reach the driver.
 
@@ -40,7 +40,9 @@ from broadsheet.llm.components import components
 TREES = 12
 POSITIONS = 48
 LEAF = 48
-DEPTH = 8
+DEPTH = 3
+#: classes that are compared at once where branching does not help
+BLOCK = 512
 #: sketches of a pair must agree at half of the positions; at similarity 0.8 fewer than one pair in a million do not
 AGREE = POSITIONS // 2
 _draw = np.random.default_rng(20)
@@ -162,11 +164,11 @@ def _leaf_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _with_counts(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that span several components, with the node's size and least class."""
+    """Rows of nodes that span several components, with the node's size."""
     nodes = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc").alias("leader"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")
+        F.count(F.lit(1)).alias("n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")
     )
-    return rows.join(nodes.filter("n > 1 AND _lo <> _hi").select("node", "n", "leader"), "node")
+    return rows.join(nodes.filter("n > 1 AND _lo <> _hi").select("node", "n"), "node")
 
 
 def _members(rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -183,13 +185,52 @@ def _branch(rows: DataFrame, sketches: DataFrame, level: int) -> DataFrame:
     return rows.select(F.xxhash64("node", "_p", F.get("sketch", F.col("_p"))).alias("node"), "doc", "comp")
 
 
-def _blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Exhaustive comparison of nodes that no branching made small: every pair of blocks of a node is a leaf."""
-    n_blocks = F.ceil(2 * F.col("n") / LEAF).cast("int")
-    own = rows.withColumn("_blocks", n_blocks).withColumn("_own", F.pmod(F.xxhash64(F.lit(5), "doc"), n_blocks).cast("int"))
+def _blocks(rows: DataFrame, documents: DataFrame, words_per: int, percent: int) -> DataFrame:
+    """Links of nodes that branching did not make small: every pair of blocks of a node is compared where it lies.
+
+    Whole sets are compared inside the task, so pairs that are no links are never written.
+    """
+    n_blocks = F.ceil(2 * F.col("n") / BLOCK).cast("int")
+    own = rows.select("node", "doc", "comp", "n").withColumn("_blocks", n_blocks)
+    needed = rows.select(F.col("doc").alias("doc_id")).distinct()
+    texts = stage(bodies(documents).join(needed.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "block-bodies")
+    own = own.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    own = own.withColumn("_own", F.pmod(F.xxhash64(F.lit(5), "doc"), F.col("_blocks")).cast("int"))
     met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    key = F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return _leaf_pairs(_members(met.select(key.alias("node"), "doc", "comp"), sketches))
+    met = met.select("node", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "doc", "comp", "body")
+
+    def run(block: pa.Table) -> pa.Table:
+        doc, comp = block.column("doc").to_numpy(), block.column("comp").to_numpy()
+        none = np.empty(0, np.int64)
+        a, b = _linked(doc, comp, block.column("body").to_pylist(), words_per, percent) if comp.min() < comp.max() else (none, none)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.groupBy("node", "_x", "_y").applyInArrow(run, "a long, b long")
+
+
+def _linked(doc: np.ndarray, comp: np.ndarray, bodies_of: list[bytes], words_per: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between components among a block's members, by the sizes of all intersections."""
+    sets = [shingles(zstandard.decompress(b).decode(), words_per) for b in bodies_of]
+    size = np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = count[column] > 1  # what one set alone holds is in no intersection
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        common += part @ part.T
+    good = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    i, j = np.nonzero(np.triu(good & (comp[:, None] != comp[None, :]), 1))
+    # one link for each pair of components is enough
+    pair = np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])])
+    _, first = np.unique(pair, axis=1, return_index=True)
+    return np.minimum(doc[i], doc[j])[first], np.maximum(doc[i], doc[j])[first]
 
 
 def links_between(classes: DataFrame, documents: DataFrame, words_per: int, percent: int) -> DataFrame:
@@ -214,11 +255,9 @@ def links_between(classes: DataFrame, documents: DataFrame, words_per: int, perc
         large = open_rows.filter(F.col("n") > LEAF)
         if large.isEmpty():
             break
-        led = large.filter("doc <> leader").join(comp.select(F.col("id").alias("leader"), F.col("component").alias("_lead")), "leader", "left")
-        led = led.filter(F.col("comp") != F.coalesce("_lead", "leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-        found.append(_agreeing(led, sketches))
         if level == DEPTH:
             last = large
+            break
         rows = _branch(large, sketches, level)
     pairs = found[0]
     for more in found[1:]:
@@ -232,19 +271,10 @@ def links_between(classes: DataFrame, documents: DataFrame, words_per: int, perc
         left = last.select("node", "doc").join(now, "doc", "left").select("node", "doc", F.coalesce("component", "doc").alias("comp"))
         rest = stage(_with_counts(left), "rest")
         if not rest.isEmpty():
-            links = links.unionByName(stage(confirm(stage(_blocks(rest, sketches).distinct(), "block-pairs"), documents, words_per, percent), "near-3"))
+            links = links.unionByName(stage(_blocks(rest, documents, words_per, percent).distinct(), "near-3"))
     return links
 
 
-def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree often enough."""
-    two = pairs.join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("_sa")), "a").join(
-        sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("_sb")), "b"
-    )
-    same = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda e: e))
-    return two.filter(same >= AGREE).select("a", "b")
-
-
 def near_duplicates(documents: DataFrame, words_per: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     sets = stage(sets_of(documents, words_per), "sets")

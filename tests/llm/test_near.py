@@ -62,7 +62,7 @@ def test_documents_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(k, v, 1, "x") for k, v in texts.items()], "doc_id long, text string, node long, sketch string").repartition(5)
     for leaf in (chosen_path.LEAF, 6):  # small leaves force branching and blocks
         monkeypatch.setattr(chosen_path, "LEAF", leaf)
-        monkeypatch.setattr(chosen_path, "DEPTH", 8 if leaf > 6 else 2)
+        monkeypatch.setattr(chosen_path, "BLOCK", 512 if leaf > 6 else 40)
         sets, least = _brute(texts, 4, 80)
         rows = chosen_path.digest(df).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(sets[i]), c, c == i) for i, c in least.items()}
