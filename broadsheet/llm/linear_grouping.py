@@ -24,85 +24,103 @@ def suffix_array(text: bytes) -> np.ndarray:
     first_order = np.argsort(values, kind="stable")
     counts = np.bincount(values)
     starts = np.cumsum(counts) - counts
-    order: list[int] = first_order.tolist()
+    order = first_order.tolist()
     place = np.empty(n, np.int64)
     place[first_order] = np.arange(n)
     place = place.tolist()
-    link: list[int] = starts[values].tolist()
-    size = [0] * n
+    link = starts[values].tolist()
+    size = [1] * n
     for s, c in zip(starts.tolist(), counts.tolist()):
         if c:
             size[s] = c
     before = [-1] * n
     end = n
-    while end > 0:
-        start = link[order[end - 1]]
-        if end - start == 1:
-            # most groups hold one suffix
-            i = order[start]
+    while end:
+        i = order[end - 1]
+        start = link[i]
+        if end - start == 1:  # most groups hold one suffix
             p = i - 1
             while p >= 0 and link[p] >= start:
                 p = before[p]
-            before[i] = p
             if p >= 0:
+                before[i] = p
                 g = link[p]
-                last = g + size[g] - 1
-                if last > g:
-                    at = place[p]
+                m = size[g]
+                if m > 1:
+                    m -= 1
+                    size[g] = m
+                    last = g + m
                     other = order[last]
-                    order[at], order[last] = other, p
-                    place[other], place[p] = at, last
-                    size[g] -= 1
-                    size[last] = 1
+                    if other != p:
+                        at = place[p]
+                        order[at] = other
+                        place[other] = at
+                        order[last] = p
+                        place[p] = last
                     link[p] = last
             end = start
             continue
-        members = sorted(order[start:end])
-        reached: list[int] = []
+        members = order[start:end]
+        members.sort()
+        reached = []
         for i in members:
             p = i - 1
             while p >= 0 and link[p] >= start:
                 p = before[p]
-            before[i] = p
             if p >= 0:
+                before[i] = p
                 reached.append(p)
-        reached.sort()
-        often: dict[int, list[int]] = {}
-        for p, hits in groupby(reached):
-            often.setdefault(sum(1 for _ in hits), []).append(p)
-        for times in sorted(often, reverse=True):
-            # the most often reached go to the far end of their group, as groups of their own
-            moved: dict[int, int] = {}
-            for p in often[times]:
+        if len(set(reached)) == len(reached):
+            rounds = (reached,)
+        else:
+            reached.sort()
+            often = {}
+            for p, hits in groupby(reached):
+                often.setdefault(len(list(hits)), []).append(p)
+            rounds = [often[times] for times in sorted(often, reverse=True)]
+        for reached in rounds:
+            # the most often reached go to the far end of their group, as a group of their own
+            moved = {}
+            for p in reached:
                 g = link[p]
-                last = g + size[g] - 1
-                at = place[p]
+                m = size[g] - 1
+                size[g] = m
+                last = g + m
                 other = order[last]
-                order[at], order[last] = other, p
-                place[other], place[p] = at, last
-                size[g] -= 1
-                moved[g] = moved.get(g, 0) + 1
-            for g, m in moved.items():
+                if other != p:
+                    at = place[p]
+                    order[at] = other
+                    place[other] = at
+                    order[last] = p
+                    place[p] = last
+                if g in moved:
+                    moved[g].append(p)
+                else:
+                    moved[g] = [p]
+            for g, ps in moved.items():
                 new = g + size[g]
-                if size[g] == 0:
-                    new = g
-                size[new] = m
-                for k in range(new, new + m):
-                    link[order[k]] = new
+                if new == g:
+                    size[g] = len(ps)
+                    continue
+                size[new] = len(ps)
+                for p in ps:
+                    link[p] = new
         end = start
-    # phase two: link becomes the next free place of a group
+    # phase two: link becomes the group's first place, -1 once the suffix is emitted
     free = link
-    taken = bytearray(n)
-    nxt = list(range(n))
     out = [0] * n
+    nxt = list(range(n))
     out[0] = n - 1
-    taken[n - 1] = 1
-    for k in range(n):
-        j = out[k] - 1
-        while j >= 0 and not taken[j]:
+    free[n - 1] = -1
+    for s in out:
+        j = s - 1
+        while j >= 0:
             g = free[j]
-            out[nxt[g]] = j
-            nxt[g] += 1
-            taken[j] = 1
+            if g < 0:
+                break
+            k = nxt[g]
+            out[k] = j
+            nxt[g] = k + 1
+            free[j] = -1
             j = before[j]
     return np.array(out[1:], np.int64)

@@ -28,15 +28,16 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from broadsheet.llm.common import bucketed, stage
 from broadsheet.llm.linear_grouping import suffix_array
@@ -44,7 +45,8 @@ from broadsheet.llm.linear_grouping import suffix_array
 LENGTH = 50
 NAME = 32
 BLOCK = 8 << 20
-SORTED = 1 << 20
+#: small enough for the arrays of one sort to stay in the processor's cache
+SORTED = 1 << 14
 CONTEXTS = 64
 BUCKET_BYTES = 8 << 20
 
@@ -119,8 +121,8 @@ def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return name[start], content, start, end
 
 
-def _blocks(documents: DataFrame, limit: int) -> DataFrame:
-    """Texts in blocks: the documents of one, by id, in one value."""
+def _blocks(documents: DataFrame, limit: int, others: list[str]) -> DataFrame:
+    """Texts in blocks: the documents of one, by id, in one value, each with whether it has a text and the values of other columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, docs = TaskContext.get().partitionId(), 0, 0, []
 
@@ -129,9 +131,10 @@ def _blocks(documents: DataFrame, limit: int) -> DataFrame:
             return part * (1 << 24) + number, 0, _dump(docs)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rest = zip(*(batch.column(k).to_pylist() for k in range(2, batch.num_columns))) if others else iter(lambda: (), None)
+            for doc, text, more in zip(batch.column(0).to_pylist(), batch.column(1), rest):
                 body = (text.as_py() or "").encode("utf-8", "replace")
-                docs.append((doc, body))
+                docs.append((doc, body, text.is_valid, more))
                 held += len(body) + 64
                 if held >= limit:
                     yield _batch([full()])
@@ -139,13 +142,14 @@ def _blocks(documents: DataFrame, limit: int) -> DataFrame:
         if docs:
             yield _batch([full()])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROWS)
+    columns = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(f"`{c}`").alias(f"other_{k}") for k, c in enumerate(others))]
+    return documents.select(*columns).mapInArrow(run, ROWS)
 
 
 def _block_runs(docs: list[tuple]) -> tuple[np.ndarray, ...]:
     """Names, contents, document numbers, first windows and ends of all runs of a block."""
     parts = []
-    for k, (doc, body) in enumerate(docs):
+    for k, (doc, body, *_) in enumerate(docs):
         if doc is not None and len(body) >= LENGTH:
             name, content, start, end = runs(body)
             parts.append((name, content, np.full(len(name), k), start, end))
@@ -200,10 +204,10 @@ def _name_rows(blocks: DataFrame, buckets: int) -> DataFrame:
                 rows = []
                 for part in np.split(order, cuts):
                     low, which = np.unique(e["least"][part], return_inverse=True)
-                    short = ((e["name"][part] // np.uint64(buckets)) & np.uint64((1 << 40) - 1)).astype("<u8")
-                    # names ascend inside a bucket only by chance of the shift; they are stored as 5 bytes, contents as 6
+                    # the upper 40 bits of the names ascend inside a bucket: steps are kept; contents have 6 bytes
+                    step = np.diff(e["name"][part] >> np.uint64(24), prepend=np.uint64(0))
                     value = (
-                        short.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), (e["content"][part]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
+                        step.astype(np.uint32 if int(step.max()) < 1 << 32 else np.uint64), (e["content"][part]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
                         low, which.astype(np.uint16 if len(low) < 65536 else np.uint32), np.packbits(e["mark"][part]).tobytes(),
                     )
                     rows.append((block, int(e["bucket"][part[0]]), _dump(value)))
@@ -222,7 +226,7 @@ def _judge_names(rows: DataFrame) -> DataFrame:
     """Per entry: 1 where an equal run has a smaller document, 2 where the name has other contexts."""
     def run(group: pa.Table) -> pa.Table:
         loaded = [_load(p.as_py()) for p in group.column("payload")]
-        name = np.concatenate([_wide(v[0], 5) for v in loaded])
+        name = np.concatenate([np.cumsum(v[0], dtype=np.uint64) for v in loaded])
         content = np.concatenate([_wide(v[1], 6) for v in loaded])
         least = np.concatenate([v[2][v[3]] for v in loaded])
         sizes = [len(v[3]) for v in loaded]
@@ -234,11 +238,14 @@ def _judge_names(rows: DataFrame) -> DataFrame:
         cls, first = np.cumsum(new) - 1, np.flatnonzero(new)
         of = np.cumsum(new_name) - 1
         contexts = np.bincount(of[first]) + np.bincount(of, mark[order])
+        at = np.flatnonzero(new_name)
+        # one document alone takes nothing from itself; a mark may stand for several
+        several = (np.minimum.reduceat(low, at) < np.maximum.reduceat(low, at)) | (np.bincount(of, mark[order]) > 0)
         flag = np.empty(len(n), np.uint8)
         # a mark stands for many contexts, so it is neither covered nor does it say that another is
         plain = np.where(mark[order], np.iinfo(np.int64).max, low)
         best = np.minimum.reduceat(plain, first)
-        flag[order] = np.where(~mark[order] & (best[cls] < low), 1, 0) | np.where(contexts[of] > 1, 2, 0)
+        flag[order] = np.where(~mark[order] & (best[cls] < low), 1, 0) | np.where((contexts[of] > 1) & several[of], 2, 0)
         parts = np.split(flag, np.cumsum(sizes)[:-1])
         return pa.table([group.column("block"), group.column("bucket"), pa.array([zstandard.compress(p.tobytes(), 3) for p in parts], pa.binary())], schema=_ROWS)
 
@@ -365,13 +372,12 @@ def _judge_windows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, ROWS)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary"
-_RESULT = pa.schema([
-    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("body", pa.binary()),
-])
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _cut(blocks: DataFrame, local: DataFrame, flags: DataFrame, with_body: bool) -> DataFrame:
+def _cut(blocks: DataFrame, local: DataFrame, flags: DataFrame, write: Callable[[list[tuple[tuple, bytes, int]]], pa.RecordBatch], schema) -> DataFrame:
+    """Every document of every block with what is kept of it and its number of removed spans, as ``write`` puts it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, own, cells in zip(*(batch.column(k) for k in range(3))):
@@ -389,50 +395,56 @@ def _cut(blocks: DataFrame, local: DataFrame, flags: DataFrame, with_body: bool)
                     else:
                         spans.append([a, b])
                 out = []
-                for k, (doc_id, body) in enumerate(docs):
+                for k, row in enumerate(docs):
                     spans, kept, at = merged.get(k, []), [], 0
                     for a, b in spans:
-                        kept.append(body[at:a])
+                        kept.append(row[1][at:a])
                         at = b
-                    kept.append(body[at:])
-                    left = b"".join(kept)
-                    out.append((doc_id, len(body), len(body) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if with_body else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RESULT.types)], schema=_RESULT)
+                    kept.append(row[1][at:])
+                    out.append((row, b"".join(kept), len(spans)))
+                yield write(out)
 
     rows = blocks.join(local.select("block", F.col("payload").alias("own")), "block").join(flags, "block", "left")
-    return rows.select("payload", "own", "cells").mapInArrow(run, RESULT)
+    return rows.select("payload", "own", "cells").mapInArrow(run, schema)
 
 
-def removed(documents: DataFrame, with_body: bool = False, block: int = BLOCK) -> DataFrame:
-    """Per document its bytes, removed bytes, spans, and checksum (and bytes, on request) of what is kept."""
+def _cleared(documents: DataFrame, others: list[str], write, schema, block: int) -> DataFrame:
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parallel = documents.sparkSession.sparkContext.defaultParallelism
     buckets = max(parallel, -(-total // BUCKET_BYTES))
-    blocks = bucketed(_blocks(documents, block), "suffix_blocks", max(parallel, -(-total // block)), "block")
+    blocks = bucketed(_blocks(documents, block, others), "suffix_blocks", max(parallel, -(-total // block)), "block")
     flags = _gathered(_judge_names(_name_rows(blocks, buckets)), "cells")
     sorted_rows = stage(_sort_rows(blocks, flags, buckets), "suffix-sorted")
     judged = _gathered(_judge_windows(sorted_rows.filter("bucket >= 0")), "cells")
-    return _cut(blocks, sorted_rows.filter("bucket = -1"), judged, with_body)
+    return _cut(blocks, sorted_rows.filter("bucket = -1"), judged, write, schema)
 
 
-def remove(documents: DataFrame) -> DataFrame:
-    """The rows with the repeated passages cut out of ``text``; characters that a cut has split are dropped, null stays null."""
-    names = [c for c in documents.columns if c != "text"]
-    bodies = stage(removed(documents.select("doc_id", "text"), with_body=True).filter("n_removed > 0").dropDuplicates(["doc_id"]), "suffix-bodies")
-    cut = bodies.select(F.col("doc_id").alias("_cut_id"), _whole_characters(F.col("body")).alias("_cut_text"))
-    rows = documents.join(cut, F.col("doc_id") == F.col("_cut_id"), "left")
-    text = F.when(F.col("_cut_id").isNotNull() & F.col("text").isNotNull(), F.col("_cut_text")).otherwise(F.col("text"))
-    return rows.select(*names, text.alias("text")).select(*documents.columns)
+def removed(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per document its bytes, removed bytes, spans, and checksum of what is kept."""
+    def write(rows: list[tuple[tuple, bytes, int]]) -> pa.RecordBatch:
+        out = [(row[0], len(row[1]), len(row[1]) - len(left), n, hashlib.sha256(left).hexdigest()) for row, left, n in rows]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RESULT.types)], schema=_RESULT)
 
+    return _cleared(documents, [], write, RESULT, block)
 
-def _whole_characters(body):
-    @F.pandas_udf("string")
-    def decode(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    return decode(body)
+def remove(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows with the repeated passages cut out of ``text``; characters that a cut has split are dropped, null stays null.
+
+    The other columns wait in the blocks, so rows need not be joined again.
+    """
+    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    schema = documents.select("doc_id", "text", *(f"`{c}`" for c in others)).schema
+    plain = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *schema.fields[2:]])
+    arrow = to_arrow_schema(plain)
+
+    def write(rows: list[tuple[tuple, bytes, int]]) -> pa.RecordBatch:
+        out = [(row[0], left.decode("utf-8", "ignore") if row[2] else None, *row[3]) for row, left, _ in rows]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+    return _cleared(documents, others, write, plain, block).select(*(F.col(f"`{c}`").cast(documents.schema[c].dataType) for c in documents.columns))
 
 
 def digest(documents: DataFrame) -> DataFrame:
     """The columns of op6."""
-    return removed(documents).drop("body")
+    return removed(documents)
