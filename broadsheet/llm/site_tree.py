@@ -2,18 +2,20 @@
 
 Each page is read once into blocks in page order.  A block belongs to a presentation node, the path of tags, classes and ids
 that leads to it.  The pages of a host share their nodes, so the site style tree is the table of (host, path): for each node
-the texts that its blocks hold (content) and the sequences of children that its element has (presentation).  The importance
-of a node is the entropy of these values over their occurrences, divided by its possible maximum: 1 when every page differs,
-0 when all agree.  A block's composite importance is ``(1 - GAMMA) * presentation of its parent + GAMMA * content of its
-node``; nodes under ``LEAST`` with at least ``SEEN`` occurrences are noise and their blocks are removed from every page.
+the texts that its blocks hold (content) and the sequences of children that its element has (presentation).  What is counted
+are distinct pages: pages of a host with the same blocks are one page, and a page counts each value of a node once.  The
+importance of a node is 1 less the mean of ``log n / log m`` over its values, where ``m`` distinct pages have the node and
+``n`` of them share the value: 1 when every page differs, 0 when all agree.  A block's composite importance is
+``(1 - GAMMA) * presentation of its parent + GAMMA * content of its node``; in nodes under ``LEAST`` the texts that at least
+``SEEN`` distinct pages share are noise and are removed from every page.
 
 What a single page shows by itself is decided while it is read: elements that never hold an article (menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, by tag, role, class or id) are left out, and a
 page that marks its article keeps that branch alone.  Plain paragraphs and headings directly inside a marked article are
 never removed as noise, however often they repeat.
 
-Texts stay where they were read: only hashes are counted, pre-aggregated per task, and the noise nodes come back as a table
-that the planner broadcasts only when it is small.
+Texts stay where they were read: only hashes are counted, pre-aggregated per task, and the noise cells (hashes of node and
+text) come back as a table that the planner broadcasts only when it is small.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated pages are extracted each
 for itself; malformed markup (unclosed tags, stray ends, cut references) is read as it comes; empty table, no rows; other
@@ -75,12 +77,16 @@ NOISE = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption header".split())
 
-PARSED = "page_id long, url string, texts array<string>, nodes array<long>, stats array<struct<node:long,parent:long,value:long>>"
-_STAT = pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("value", pa.int64())])
+PARSED = (
+    "page_id long, url string, page long, texts array<string>, cells array<long>, "
+    "stats array<struct<node:long,parent:long,value:long,first:boolean>>"
+)
+_STAT = pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("value", pa.int64()), ("first", pa.bool_())])
 _PARSED = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("texts", pa.list_(pa.string())), ("nodes", pa.list_(pa.int64())), ("stats", pa.list_(_STAT)),
+    ("page_id", pa.int64()), ("url", pa.string()), ("page", pa.int64()), ("texts", pa.list_(pa.string())), ("cells", pa.list_(pa.int64())),
+    ("stats", pa.list_(_STAT)),
 ])
-#: node number of blocks that are never noise
+#: cell number of blocks that are never noise
 SAFE = 0
 
 
@@ -103,8 +109,11 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def read(page: str, host: str, paths: dict) -> tuple[list[str], list[int], list[tuple[int, int, int]]]:
-    """Texts and nodes of the candidate blocks, and (node, parent, value) of everything that the site tree counts."""
+def read(page: str, host: str, paths: dict) -> tuple[int, list[str], list[int], list[dict]]:
+    """Hash of host and candidate blocks, texts and cells of these blocks, and everything that the site tree counts, once each.
+
+    ``first`` marks one value of each node, so that its sum over pages is the number of pages that have the node.
+    """
     stack = [_Open("", _number(host), False, False, False)]
     blocks: list[tuple[str, int, int, bool, bool, bool]] = []
     stats: list[tuple[int, int, int]] = []
@@ -195,23 +204,28 @@ def read(page: str, host: str, paths: dict) -> tuple[list[str], list[int], list[
     flush()
     while len(stack) > 1:
         pop()
-    stats += [(node, ~parent, _number(text)) for text, node, parent, *_ in blocks]
-    inside = [b for b in blocks if not b[3]]
-    rooted = [b for b in inside if b[4]]
+    cells = [_number(f"{node}:{text}") for text, node, *_ in blocks]
+    stats += [(node, ~parent, cell) for (_, node, parent, *_), cell in zip(blocks, cells)]
+    inside = [(b, cell) for b, cell in zip(blocks, cells) if not b[3]]
+    rooted = [(b, cell) for b, cell in inside if b[4]]
     chosen = rooted or inside
-    return [b[0] for b in chosen], [SAFE if b[4] and b[5] else b[1] for b in chosen], stats
+    counted, known = [], set()
+    for node, parent, value in dict.fromkeys(stats):
+        counted.append({"node": node, "parent": parent, "value": value, "first": node not in known})
+        known.add(node)
+    content = _number(f"{host} {' '.join(str(cell) for _, cell in chosen)}")
+    return content, [b[0] for b, _ in chosen], [SAFE if b[4] and b[5] else cell for b, cell in chosen], counted
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """One row per page: candidate texts with their nodes, and what the site tree counts."""
+    """One row per page: candidate texts with their cells, and what the site tree counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths: dict = {}
         for batch in batches:
             rows, held = [], 0
             for page_id, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 page = page.as_py() or ""
-                texts, nodes, stats = read(page, host_of(url), paths)
-                rows.append((page_id, url, texts, nodes, [{"node": a, "parent": b, "value": v} for a, b, v in stats]))
+                rows.append((page_id, url, *read(page, host_of(url), paths)))
                 held += len(page)
                 if len(paths) > 100_000:
                     paths.clear()
@@ -224,31 +238,43 @@ def parse(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, PARSED)
 
 
-def importance(parsed: DataFrame) -> DataFrame:
-    """node, parent, seen and entropy of every node of the site trees, in [0, 1]."""
-    values = parsed.select(F.explode("stats").alias("s")).select("s.*").groupBy("node", "parent", "value").agg(F.count(F.lit(1)).alias("n"))
-    sums = values.groupBy("node", "parent").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("_nlogn"))
-    entropy = F.when(F.col("seen") > 1, (F.log("seen") - F.col("_nlogn") / F.col("seen")) / F.log("seen")).otherwise(1.0)
-    return sums.select("node", "parent", "seen", entropy.alias("entropy"))
+def shared_values(parsed: DataFrame) -> DataFrame:
+    """For every node of the site trees a row per value that ``SEEN`` distinct pages share, and one (value null) for all others."""
+    distinct = parsed.groupBy("page").agg(F.min("_row").alias("_row"))
+    counted = parsed.select("_row", "stats").join(distinct, "_row", "left_semi").select(F.explode("stats").alias("s")).select("s.*")
+    values = counted.groupBy("node", "parent", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("first").cast("long")).alias("pages"))
+    shared = F.when(F.col("n") >= SEEN, F.col("value"))
+    return values.groupBy("node", "parent", shared.alias("value")).agg(
+        F.sum("n").alias("seen"), F.sum("pages").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("_nlogn")
+    )
+
+
+def importance(values: DataFrame) -> DataFrame:
+    """node, parent, distinct pages and importance of every node of the site trees, in [0, 1]."""
+    sums = values.groupBy("node", "parent").agg(F.sum("seen").alias("_seen"), F.sum("pages").alias("pages"), F.sum("_nlogn").alias("_nlogn"))
+    spread = F.when(F.col("pages") > 1, 1 - F.col("_nlogn") / F.col("_seen") / F.log("pages")).otherwise(1.0)
+    return sums.select("node", "parent", "pages", spread.alias("importance"))
 
 
-def noise_nodes(parsed: DataFrame) -> DataFrame:
-    """Nodes whose composite importance is too low."""
-    nodes = stage(importance(parsed), "site-nodes")
-    shape = nodes.filter("parent = 0").select(F.col("node").alias("parent"), F.col("entropy").alias("_shape"))
+def noise_cells(parsed: DataFrame) -> DataFrame:
+    """Shared texts of nodes whose composite importance is too low."""
+    values = stage(shared_values(parsed), "site-values")
+    nodes = stage(importance(values), "site-nodes")
+    shape = nodes.filter("parent = 0").select(F.col("node").alias("parent"), F.col("importance").alias("_shape"))
     content = nodes.filter("parent <> 0").join(shape, "parent", "left")
-    score = (1 - GAMMA) * F.coalesce("_shape", F.lit(1.0)) + GAMMA * F.col("entropy")
-    return content.filter((F.col("seen") >= SEEN) & (score < LEAST)).select("node").distinct()
+    score = (1 - GAMMA) * F.coalesce("_shape", F.lit(1.0)) + GAMMA * F.col("importance")
+    low = content.filter((F.col("pages") >= SEEN) & (score < LEAST)).select("node").distinct()
+    return values.filter("parent <> 0 and value is not null").join(low, "node", "left_semi").select(F.col("value").alias("cell")).distinct()
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     parsed = stage(parse(pages).withColumn("_row", F.monotonically_increasing_id()), "site-pages")
-    noise = stage(noise_nodes(parsed), "site-noise")
-    cells = parsed.select("_row", F.explode("nodes").alias("node")).filter(F.col("node") != SAFE).distinct()
-    removed = stage(cells.join(noise, "node").groupBy("_row").agg(F.collect_set("node").alias("_noise")), "site-removed")
-    rows = parsed.select("_row", "page_id", "url", "texts", "nodes").join(removed, "_row", "left")
-    kept = F.filter("texts", lambda t, k: F.coalesce(~F.array_contains("_noise", F.get("nodes", k)), F.lit(True)))
+    noise = stage(noise_cells(parsed), "site-noise")
+    cells = parsed.select("_row", F.explode(F.array_distinct("cells")).alias("cell")).filter(F.col("cell") != SAFE)
+    removed = stage(cells.join(noise, "cell").groupBy("_row").agg(F.collect_set("cell").alias("_noise")), "site-removed")
+    rows = parsed.select("_row", "page_id", "url", "texts", "cells").join(removed, "_row", "left")
+    kept = F.filter("texts", lambda t, k: F.coalesce(~F.array_contains("_noise", F.get("cells", k)), F.lit(True)))
     text = F.array_join(F.when(F.col("_noise").isNull(), F.col("texts")).otherwise(kept), JOINT)
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

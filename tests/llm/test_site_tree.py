@@ -41,3 +41,34 @@ def test_noise_of_a_site_and_odd_rows(spark):
 
 def test_empty(spark):
     assert site_tree.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _texts(spark, rows):
+    out = site_tree.digest(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return {r.page_id: r.text for r in out}
+
+
+def test_repeats_inside_one_page_and_copies_of_a_page_are_no_noise(spark):
+    cells = "<tr>" + '<td class="ok">Yes</td>' * 5 + "</tr>"
+    one = f"<body><h2>Table</h2><article><h1>Answers</h1><table>{cells}</table></article></body>"
+    verse = "<body><h1>Song</h1>" + "<p class=v>Row, row</p>" * 6 + "</body>"
+    copy = "<body><h1>One story</h1><h2>Part</h2>" + "".join(f"<p>Paragraph {k}</p>" for k in range(8)) + "</body>"
+    rows = [(1, "http://one/", one), (2, "http://verse/", verse)]
+    rows += [(k, f"http://copies/a?utm_source={k}", copy) for k in range(100, 400)]
+    rows += [(k, f"http://copies/{k}", copy.replace("story", f"story {k}").replace("Paragraph", f"Other {k}")) for k in range(400, 403)]
+    out = _texts(spark, rows)
+    assert out[1] == "\n\n".join(["Answers"] + ["Yes"] * 5)
+    assert out[2] == "\n\n".join(["Song"] + ["Row, row"] * 6)
+    for k in range(100, 400):
+        assert out[k] == "\n\n".join(["One story", "Part"] + [f"Paragraph {n}" for n in range(8)])
+    for k in range(400, 403):
+        assert out[k] == "\n\n".join([f"One story {k}", "Part"] + [f"Other {k} {n}" for n in range(8)])
+
+
+def test_only_shared_texts_of_a_noise_node_go(spark):
+    rows = [
+        (k, f"http://lists/{k}", f"<h1>Title {k}</h1><div class=box>" + "".join(f"<p>Link {n}</p>" for n in range(19)) + f"<p>Own line {k}</p></div>")
+        for k in range(20)
+    ]
+    out = _texts(spark, rows)
+    assert all(out[k] == f"Title {k}\n\nOwn line {k}" for k in range(20))
