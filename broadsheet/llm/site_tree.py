@@ -10,9 +10,10 @@ importance of a node is 1 less the mean of ``log n / log m`` over its values, wh
 ``SEEN`` distinct pages share are noise and are removed from every page.
 
 What a single page shows by itself is decided while it is read: elements that never hold an article (menus, page headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, by tag, role, class or id) are left out, and a
-page that marks its article keeps that branch alone.  Plain paragraphs and headings directly inside a marked article are
-never removed as noise, however often they repeat.
+footers, sidebars, forms, scripts, styles, by tag or role) and reader comments (containers with a class or id of ``COMMENTS``)
+are left out, and a page that marks its article keeps that branch alone.  No other name cuts a branch: sidebars, adverts or
+notices that are marked by class or id only are left to the site tree.  Paragraphs and headings directly inside a marked
+article, under elements without a class, are never removed as noise, however often they repeat.
 
 Texts stay where they were read: only hashes are counted, pre-aggregated per task, and the noise cells (hashes of node and
 text) come back as a table that the planner broadcasts only when it is small.
@@ -67,15 +68,14 @@ LEFT_OUT = frozenset(
     "head nav footer aside form script style noscript iframe button select textarea template svg dialog menu object canvas video audio "
     "title".split()
 )
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|share|sharing|social|sidebar|rail|related|recommended|recommendations|comments?|disqus|"
-    r"respond|replies|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|widgets?|toolbar|pagination|pager|search|login|signup)"
-    r"(?:$|[\s_-])",
-    re.I,
+#: whole names, as class or id of a container
+COMMENTS = frozenset(
+    "comment comments comments-area comments-section comment-section comment-list commentlist comment-respond respond replies disqus "
+    "disqus_thread".split()
 )
+CONTAINERS = frozenset("article details div dl li ol section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption header".split())
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption header section".split())
 
 PARSED = (
     "page_id long, url string, page long, texts array<string>, cells array<long>, "
@@ -179,7 +179,7 @@ def read(page: str, host: str, paths: dict) -> tuple[int, list[str], list[int],
                 if e.name in borders:
                     break
         attrs = t["attrs"] or t["attrs2"] or ""
-        marks, role, body = "", "", False
+        marks, classed, role, body = "", False, "", False
         if attrs:
             for a in ATTR.finditer(attrs):
                 value = a[2] or a[3] or a[4] or ""
@@ -190,6 +190,7 @@ def read(page: str, host: str, paths: dict) -> tuple[int, list[str], list[int],
                     body = body or value == "articleBody"
                 elif key != "hidden":
                     marks += " " + value
+                    classed = classed or key == "class"
         up = stack[-1]
         up.children.append(name if not marks else name + marks)
         key = (up.node, name, marks)
@@ -197,10 +198,10 @@ def read(page: str, host: str, paths: dict) -> tuple[int, list[str], list[int],
         if node is None:
             node = paths[key] = _number(f"{up.node}>{name}{marks}")
         root = up.root or name in ("article", "main") or role == "main" or body
-        noisy = name in LEFT_OUT or role in ROLES or (name == "header" and not up.root) or bool(marks and name not in ("body", "html", "article", "main") and NOISE.search(marks))
-        noisy = noisy or bool(marks and name == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", marks, re.I))
+        noisy = name in LEFT_OUT or role in ROLES or (name == "header" and not up.root)
+        noisy = noisy or bool(marks and name in CONTAINERS and not COMMENTS.isdisjoint(marks.lower().split()))
         starts = root and not up.root
-        stack.append(_Open(name, node, up.out or noisy, root, starts or (up.plain and name in PLAIN and not marks) or (up.plain and not block)))
+        stack.append(_Open(name, node, up.out or noisy, root, starts or (up.plain and name in PLAIN and not classed) or (up.plain and not block)))
     flush()
     while len(stack) > 1:
         pop()

@@ -72,3 +72,22 @@ def test_only_shared_texts_of_a_noise_node_go(spark):
     ]
     out = _texts(spark, rows)
     assert all(out[k] == f"Title {k}\n\nOwn line {k}" for k in range(20))
+
+
+def test_names_cut_no_branch(spark):
+    rows = [(k, f"http://{name}/", f'<body><div class="site {name}"><article><h1>T</h1><p>Text</p></article></div></body>') for k, name in enumerate(("has-sidebar", "no-sidebar", "sidebar"))]
+    inside = (
+        '<article><header class="entry-header"><h1>Head {k}</h1></header><p>Text {k}</p><h2 id="search">Search</h2><p>How {k}</p>'
+        '<section id="related-work"><h2>Related work</h2><p>Others {k}</p></section><div class="comments"><p>Nice {k}</p></div></article>'
+    )
+    rows += [(100 + k, f"http://papers/{k}", inside.replace("{k}", str(k))) for k in range(8)]
+    ads = '<body><h1>Day {k}</h1><p>News {k}</p><div class="sidebar"><ul><li>Home</li><li>Shop</li><li>About</li></ul></div><h2 id="search">Search of {k}</h2></body>'
+    rows += [(200 + k, f"http://plain/{k}", ads.replace("{k}", str(k))) for k in range(8)]
+    rows += [(300, "http://single/", ads), (301, "http://wp/", '<p>A</p><ol class="comment-list"><li>B</li></ol><div id="disqus_thread">C</div><p class="comment">D</p>')]
+    out = _texts(spark, rows)
+    assert out[0] == out[1] == out[2] == "T\n\nText"
+    for k in range(8):
+        assert out[100 + k] == "\n\n".join([f"Head {k}", f"Text {k}", "Search", f"How {k}", "Related work", f"Others {k}"])
+        assert out[200 + k] == "\n\n".join([f"Day {k}", f"News {k}", f"Search of {k}"])
+    assert out[300] == "\n\n".join(["Day {k}", "News {k}", "Home", "Shop", "About", "Search of {k}"])
+    assert out[301] == "A\n\nD"
