@@ -7,8 +7,9 @@ subword.
 
 Training sees a bounded sample of labelled rows: about ``PER_LANG`` documents per language, ``SAMPLE`` in all, drawn by a hash
 of doc_id; it is the only bounded part.  Tasks reduce each sampled text to subword counts, so what reaches the driver is bounded by
-the sample size.  A fifth of the sample is kept to calibrate: a temperature by likelihood, then the score below which a share
-``LOST`` of the right predictions lies; lower scores are rejected, so wrong labels in the sample cost no clean document.
+the sample size.  A fifth of the sample is kept to calibrate: a temperature by likelihood, then the rejection threshold, halfway
+between the lowest score of a right prediction and the score of a guess among all languages.  Scores are rejected only where
+the kept fifth has no right prediction near, and only if it has wrong ones there; otherwise no score is too low.
 
 Defined results: null text or a text without letters is ``und`` with score 0 and is rejected; without any labelled row all
 texts are ``und``; equal logits give the language that sorts first; repeated rows and equal texts get equal answers; other
@@ -33,7 +34,6 @@ SAMPLE = 6000
 WINDOW = 80
 EPOCHS = 6
 RATE = 0.8
-LOST = 0.001
 UND = "und"
 #: characters hashed at a time
 SPAN = 1 << 20
@@ -179,9 +179,13 @@ def _loss(z: np.ndarray, truth: np.ndarray) -> float:
 
 
 def _threshold(p: np.ndarray, truth: np.ndarray) -> float:
-    """The score below which only a share ``LOST`` of the right held-out predictions lies."""
-    right = p.argmax(axis=1) == truth
-    return float(np.quantile(p.max(axis=1)[right], LOST, method="lower")) if right.any() else 0.0
+    """Halfway from the lowest right held-out score to a guess (1 / languages); 0 where no wrong prediction lies below that."""
+    best, right = p.max(axis=1), p.argmax(axis=1) == truth
+    if not right.any():
+        return 0.0
+    guess = 1 / p.shape[1]
+    low = guess + (float(best[right].min()) - guess) / 2
+    return low if (best[~right] < low).any() else 0.0
 
 
 def held_out() -> Column:

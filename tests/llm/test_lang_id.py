@@ -39,3 +39,16 @@ def test_no_labels_and_empty(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in lang_id.digest(df).collect()] == [("und", 0.0, True)]
     assert lang_id.digest(df.limit(0)).count() == 0
+
+
+def test_threshold_rejects_no_right_prediction():
+    import numpy as np
+
+    best = np.linspace(0.6, 0.999, 5000)
+    p = np.stack([best, 1 - best], axis=1)
+    truth = np.zeros(5000, int)
+    assert lang_id._threshold(p, truth) == 0.0
+    low = np.concatenate([[0.51, 0.52], best])
+    p = np.stack([low, 1 - low], axis=1)
+    cut = lang_id._threshold(p, np.concatenate([[1, 1], truth]))
+    assert 0.52 < cut < 0.6 and abs(cut - 0.55) < 1e-9
