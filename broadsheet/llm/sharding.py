@@ -3,8 +3,8 @@
 The key of a row is (hash of its text, doc_id), so equal texts lie side by side.  The law is ``bytes``: shards hold nearly
 the same number of bytes.
 
-1. A row enters the sample with a chance in proportion to its size (decided by a hash of its key, so a retried task draws
-   the same rows).  About ``PER_RANGE`` draws fall on each range; the sample is used for boundaries only.
+1. A row enters the sample with a chance in proportion to its size plus the mean size, so that ranges are bounded in bytes
+   and in rows (decided by a hash of its key, so a retried task draws the same rows).  About ``PER_RANGE`` draws fall on each range; the sample is used for boundaries only.
 2. Every ``PER_RANGE``-th draw in key order is a splitter.  A splitter falls between two texts, unless the same text fills a
    whole range: such a group of copies is overfull and is divided by doc_id.
 3. Rows find their range by binary search among the splitters; each range is summed exactly, so the offset of every row
@@ -48,15 +48,18 @@ def keyed(documents: DataFrame) -> DataFrame:
     )
 
 
-def splitters(rows: DataFrame, total: int, n_ranges: int) -> list[tuple[int, int | None]]:
-    """Up to ``n_ranges - 1`` keys, ascending; a null doc_id stands before all rows of that text."""
+def splitters(rows: DataFrame, total: int, n_ranges: int, share: int = 0) -> list[tuple[int, int | None]]:
+    """Up to ``n_ranges - 1`` keys, ascending; a null doc_id stands before all rows of that text.
+
+    A row weighs its size and ``share``; ``total`` is the weight of all rows.
+    """
     if n_ranges < 2:
         return []
     draws = n_ranges * PER_RANGE
-    step = max(1, total // draws)  # one draw for so many bytes
+    step = max(1, total // draws)  # one draw for so much weight
     luck = F.pmod(F.xxhash64(F.lit(7), "h", "doc_id"), F.lit(step))
-    times = F.floor((F.col("size") + luck) / step).cast("int")
-    # a row of several steps is drawn several times: the weight is its size
+    times = F.floor((F.col("size") + F.lit(share) + luck) / step).cast("int")
+    # a row of several steps is drawn several times: the weight is its size and share
     sample = rows.select("h", "doc_id", times.alias("_times")).filter("_times > 0")
     spread = W.orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     upto = sample.withColumn("_upto", F.sum("_times").over(spread))
@@ -113,7 +116,9 @@ def assign(documents: DataFrame, shards: int = SHARDS, rows_per_range: int = ROW
     if n == 0:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     limit = max(1, total // (shards * LARGE))
-    cuts = splitters(rows, total, max(shards * 8, n // rows_per_range))
+    mean = -(-total // n)
+    # bytes and rows weigh alike, so twice the ranges keep each below the bytes and about the rows of one range
+    cuts = splitters(rows, total + n * mean, 2 * max(shards * 8, n // rows_per_range), mean)
     ranged = rows.withColumn("_r", range_of(cuts)).withColumn("_large", F.col("size") > limit)
     # large rows: at most shards * LARGE of them by their size
     order = F.row_number().over(W.orderBy(F.desc("size"), "h", "doc_id")) - 1
@@ -131,7 +136,12 @@ def assign(documents: DataFrame, shards: int = SHARDS, rows_per_range: int = ROW
     # the middle of what stays together decides: the whole group up to the limit, else the single row
     whole = F.col("_group") <= limit
     middle = F.col("_before") + F.when(whole, F.col("_end") - F.col("_group") / 2).otherwise(F.col("_upto") - F.col("size") / 2)
-    placed = placed.join(before, "_r").withColumn("_m", middle)
+    # a group divided over ranges starts its first one; where its many rows are few bytes it has one middle, too
+    divided = sorted({h for h, d in cuts if d is not None})
+    groups = small.filter(F.col("h").isin(divided)).groupBy("h").agg(F.sum("size").alias("_whole"), F.min("_r").alias("_r"))
+    groups = groups.join(before, "_r").select("h", "_whole", (F.col("_before") + F.col("_whole") / 2).alias("_common"))
+    apart = placed.join(before, "_r").join(F.broadcast(groups), "h", "left")
+    placed = apart.withColumn("_m", F.when(F.col("_whole").isNull(), middle).when(F.col("_whole") <= limit, F.col("_common")).otherwise(F.col("_before") + F.col("_upto") - F.col("size") / 2))
     shard = F.lit(0)
     for s in range(shards - 1):
         shard = shard + F.when(F.col("_m") >= ends[s], 1).otherwise(0)

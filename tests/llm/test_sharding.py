@@ -55,3 +55,20 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 300 and back.select("shard").distinct().count() == 4
+
+
+def test_many_empty_rows_do_not_fill_one_range(spark):
+    texts = {k: None if k % 2 else "" for k in range(3000)} | {k: f"text number {k} " * 60 for k in range(3000, 9000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = sharding.assign(df).collect()
+    assert len(rows) == len(texts)
+    _check(rows, texts)
+    assert len({r.shard for r in rows if r.size == 1}) == 1
+    found = []
+    keep, sharding.range_of = sharding.range_of, lambda cuts: found.append(cuts) or keep(cuts)
+    try:
+        sharding.assign(df)
+    finally:
+        sharding.range_of = keep
+    sizes = Counter(r[0] for r in sharding.keyed(df).select(keep(found[0])).collect())
+    assert max(sizes.values()) < 1000
