@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from broadsheet.llm import byte_bpe, chosen_path, collision_count, lang_id, packing, quality_rules, sharding, site_tree, suffix_dedup, token_attribution
+from broadsheet.llm import (
+    byte_bpe, chosen_path, collision_count, collocations, decontamination, hard_negatives, lang_id, packing, quality_rules, sharding, site_tree, suffix_dedup,
+    token_attribution,
+)
 from broadsheet.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {
     "op1_collision_counting": lambda spark, sf_dir: collision_count.digest(table(spark, sf_dir, "embeddings")),
     "op10_chosen_path": lambda spark, sf_dir: chosen_path.digest(table(spark, sf_dir, "documents")),
+    "op11_wu_manber": lambda spark, sf_dir: decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_quotient_filters": lambda spark, sf_dir: collocations.digest(table(spark, sf_dir, "documents")),
+    "op13_four_russians": lambda spark, sf_dir: hard_negatives.digest(table(spark, sf_dir, "embeddings")),
     "op2_subword_language": lambda spark, sf_dir: lang_id.digest(table(spark, sf_dir, "documents")),
     "op3_concat_and_cut": lambda spark, sf_dir: packing.digest(table(spark, sf_dir, "documents")),
     "op4_site_style_tree": lambda spark, sf_dir: site_tree.digest(table(spark, sf_dir, "pages")),
@@ -19,4 +25,9 @@ QUERIES: dict[str, Query] = {
     "op9_distinct_word_bpe": lambda spark, sf_dir: byte_bpe.digest(table(spark, sf_dir, "documents")),
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op8_rule_bitmask": quality_rules.sql()}
+SQL: dict[str, str] = {
+    "op8_rule_bitmask": quality_rules.sql(),
+    "op11_wu_manber": decontamination.sql(),
+    "op12_quotient_filters": collocations.sql(),
+    "op13_four_russians": hard_negatives.sql(),
+}
