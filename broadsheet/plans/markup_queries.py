@@ -69,16 +69,6 @@ def x9(spark, sf):
     return table(spark, sf, "pages").select("page_id", rules.apply_rules(F.col("html"), some).alias("cut"))
 
 
-
-
-
-@query("x17_int_dimensions", "SELECT page_id, '<img width=\"' || page_id || '\" height=\"' || page_id % 64 || '\">' AS tag, md5(html) AS page FROM pages")
-def x17(spark, sf):
-    i, m = F.col("page_id").cast("string"), (F.col("page_id") % 64).cast("string")
-    tag = F.concat(F.lit('<img width="'), i, F.lit('.7" height=" 0'), m, F.lit(' ">'))
-    return table(spark, sf, "pages").select("page_id", markup.int_dimensions(tag, F.lit("img")).alias("tag"), F.md5("html").alias("page"))
-
-
 @query("x22_restore_images", f"SELECT page_id, html || replace(replace({suffix_sql('<graphic src=' + chr(34) + '{id}.png' + chr(34) + '>x</graphic>')}, '<graphic', '<img'), '</graphic', '</img') AS html FROM pages")
 def x22(spark, sf):
     p = suffixed(spark, sf, '<graphic src="{id}.png">x</graphic>')

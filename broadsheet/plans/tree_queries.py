@@ -169,3 +169,166 @@ def x6(spark, sf):
 @query("x7_cut_end", _cut_sql(False))
 def x7(spark, sf):
     return injected(spark, sf, MARKED + BLOCKS).select("page_id", rules.cut_end(F.col("html"), _keyword()).alias("html"))
+
+
+# --- the whole cleaning ---------------------------------------------------------------------------------------------
+WHOLE = MARKED + ALL + "<p>x <i>End {id} of it</i> gone</p>"
+_LEAD = "https://cdn.example.net/lead{id}.jpg?x=1&y=2"
+
+
+def article_bodies(spark, sf: str) -> DataFrame:
+    """Injected pages with images, link option and exclude rules that differ by page."""
+    pid = F.col("page_id").cast("string")
+    rule = lambda kind, value: F.struct(F.lit(kind).alias("type"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
+    some = (
+        F.when(F.col("page_id") % 4 == 1, F.array(rule("start", F.concat(F.lit("Mark "), pid, F.lit(" & more")))))
+        .when(F.col("page_id") % 4 == 2, F.array(rule("end", F.concat(F.lit("End "), pid, F.lit(" of"))), rule("exact", "<hr>")))
+        .when(F.col("page_id") % 4 == 3, F.array(rule("tail", "x"), rule("exact", ""), rule("start", "no such text"), rule("exact", "styled ")))
+    )
+    lead = F.when(F.col("page_id") % 3 == 0, F.array(F.concat(F.lit("https://cdn.example.net/p"), pid, F.lit(".png")))).when(
+        F.col("page_id") % 3 == 1, F.array(F.replace(F.lit(_LEAD), F.lit("{id}"), pid), F.lit("https://cdn.example.net/second.png"))
+    )
+    keep = F.when(F.col("page_id") % 5 == 3, "N").when(F.col("page_id") % 5 == 2, "Y")
+    return injected(spark, sf, WHOLE).select("page_id", "url", "html", lead.alias("images"), keep.alias("keep_link"), some.alias("exclude"))
+
+
+def cleaned(spark, sf: str) -> DataFrame:
+    return clean.clean_bodies(article_bodies(spark, sf), "html", "url", "images", "keep_link", "exclude", "body").select("page_id", F.col("body").alias("html"))
+
+
+def _clean_script() -> tuple[m.Script, str]:
+    s = m.Script()
+    s.add("src", injected_sql(WHOLE))
+    written = f"replace({q(_LEAD.replace('&', '&amp;'))}, '{{id}}', CAST(page_id AS VARCHAR))"
+    s.add("led", f"""SELECT page_id, url, CASE WHEN page_id % 3 = 1 THEN regexp_replace(html, '(<body[^>]*>)', '\\1<p><img src="' || {written} || '" alt="Lead Image"></p>') ELSE html END AS html FROM src""")
+    cut = m.cut(s, "c", "led", "CASE page_id % 4 WHEN 1 THEN 'Mark ' || page_id || ' & more' WHEN 3 THEN 'no such text' ELSE '' END", True)
+    cut = m.cut(s, "d", cut, "CASE page_id % 4 WHEN 2 THEN 'End ' || page_id || ' of' ELSE '' END", False)
+    s.add("ruled", f"SELECT page_id, url, CASE page_id % 4 WHEN 2 THEN replace(html, '<hr>', '') WHEN 3 THEN replace(html, 'styled ', '') ELSE html END AS html FROM {cut}")
+    s.add("with_rules", "SELECT * FROM ruled WHERE page_id % 4 <> 0")
+    s.add("body", f"SELECT * FROM {m.without_empty(s, 'e', 'with_rules')} UNION ALL SELECT * FROM ruled WHERE page_id % 4 = 0")
+    toks = m.links(s, "k", m.tokens(s, "a", "body"), "CASE page_id % 5 WHEN 3 THEN 'N' ELSE 'Y' END")
+    toks = m.unwrapped(s, "u", toks, m.layout(s, "l", toks))
+    toks = m.rewritten(s, "w", m.icons(s, "i", toks))
+    return s, m.rebuild(s, "z", toks, paragraphs=True, emoji=True)
+
+
+def _clean_sql() -> str:
+    s, out = _clean_script()
+    return s.query(f"SELECT page_id, html FROM {out}")
+
+
+@query("x26_clean", _clean_sql())
+def x26(spark, sf):
+    return cleaned(spark, sf)
+
+
+# --- audit ----------------------------------------------------------------------------------------------------------
+def _audit_select(s: m.Script, p: str, source: str) -> str:
+    """rule and n over the bodies of a relation (page_id, url, html)."""
+    t = m.tokens(s, p, source)
+    tag, img = "kind IN ('open', 'void')", "kind IN ('open', 'void') AND name = 'img'"
+    an = "lower(regexp_extract(a, '^[^\\s=]+'))"
+    href = m.strip(m.decode(m.attr("href")))
+    fine = f"starts_with({href}, '#') OR regexp_matches({href}, '(?i)^(http|https|mailto|tel):') AND NOT contains({href}, ' ')"
+    odd = " OR ".join(f"{m.has(w)} AND NOT regexp_matches({m.attr(w)}, '^-?[0-9]+$')" for w in ("width", "height"))
+    s.add(f"{p}_g", f"""SELECT *, sum(CASE WHEN name = 'p' AND kind = 'open' THEN 1 WHEN name = 'p' AND kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS ps FROM {t}""")
+    s.add(f"{p}_h", f"SELECT *, ps - least(0, min(ps) OVER (PARTITION BY page_id ORDER BY pos)) AS depth FROM {p}_g")
+    s.add(f"{p}_i", f"SELECT *, coalesce(lag(depth) OVER (PARTITION BY page_id ORDER BY pos), 0) AS inside FROM {p}_h")
+    s.add(f"{p}_v", f"""SELECT page_id, count(*) FILTER (kind IN ('open', 'void', 'raw') AND name IN {m.names(fv.MEDIA_TAGS + fv.ACTIVE_TAGS)}) AS active_or_media_tag,
+        count(*) FILTER ({tag} AND name IN {m.names(fv.TAG_RENAMES)}) AS legacy_tag,
+        count(*) FILTER ({tag} AND len(list_filter(attrs, lambda a: {an} NOT IN {m.names(fv.ALLOWED_ATTRS)})) > 0) AS disallowed_attribute,
+        count(*) FILTER ({img} AND ({odd})) AS fractional_size, count(*) FILTER (name = 'a' AND kind = 'open' AND {m.has('href')} AND NOT ({fine})) AS bad_href,
+        count(*) FILTER ({tag} AND name IN {m.names(fv.BLOCK_TAGS)} AND inside > 0) AS block_in_paragraph,
+        abs(count(*) FILTER (kind = 'open') - count(*) FILTER (kind = 'close')) AS unclosed_tag,
+        count(*) FILTER ({img} AND regexp_matches({m.attr('src')}, '^(https?:)?//')) AS remote_image FROM {p}_i GROUP BY page_id""")
+    bare = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g')"
+    s.add(f"{p}_b", f"SELECT count(*) FILTER ({m.strip(m.decode(bare))} = '' AND NOT regexp_matches(html, '(?i)<img[\\s/>]')) AS n FROM {source}")
+    each = [f"SELECT {q(r)} AS rule, CAST(coalesce(sum({r}), 0) AS BIGINT) AS n FROM {p}_v" for r in audit.RULES if r != "empty_body"]
+    return " UNION ALL ".join([*each, f"SELECT 'empty_body', n FROM {p}_b"])
+
+
+def _audit_sql() -> str:
+    s = m.Script()
+    s.add("src", injected_sql(WHOLE))
+    return s.query(_audit_select(s, "q", "src"))
+
+
+def _audit_clean_sql() -> str:
+    s, out = _clean_script()
+    s.add("done", f"SELECT page_id, '' AS url, html FROM {out}")
+    return s.query(_audit_select(s, "q", "done"))
+
+
+@query("x27_audit", _audit_sql())
+def x27(spark, sf):
+    return audit.violations(injected(spark, sf, WHOLE), "html")
+
+
+@query("x27_audit_clean", _audit_clean_sql())
+def x27_clean(spark, sf):
+    return audit.violations(cleaned(spark, sf), "html")
+
+
+# --- rules on one tag, over every tag of the page -------------------------------------------------------------------
+def _tags_sql(out: str, template: str) -> str:
+    """Pages with every opening tag written anew by an SQL expression over the token."""
+    s = m.Script()
+    s.add("src", injected_sql(template))
+    t = m.tokens(s, "a", "src")
+    return s.query(f"SELECT page_id, string_agg(CASE WHEN kind IN ('open', 'void') THEN {out} ELSE raw END, '' ORDER BY pos) AS html FROM {t} GROUP BY page_id")
+
+
+def _tags(spark, sf: str, template: str, rewrite) -> DataFrame:
+    tag = lambda t: F.when(markup.is_tag(t) & ~t.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>\z"), rewrite(t, markup.name_of(t))).otherwise(t)
+    return injected(spark, sf, template).select("page_id", markup.map_tokens(F.col("html"), tag).alias("html"))
+
+
+_END = "CASE WHEN ends_with(raw, '/>') THEN '/>' ELSE '>' END"
+_AN = "lower(regexp_extract(a, '^[^\\s=]+'))"
+
+
+def _joined(attrs: str, name: str = "regexp_extract(raw, '^<([a-zA-Z][a-zA-Z0-9:_-]*)', 1)") -> str:
+    return f"'<' || {name} || coalesce(array_to_string(list_transform({attrs}, lambda a: ' ' || a), ''), '') || {_END}"
+
+
+_KEPT = f"list_filter(attrs, lambda a: {_AN} IN {m.names(fv.ALLOWED_ATTRS)} AND ({_AN} NOT IN ('width', 'height') OR name = 'img'))"
+
+
+@query("x20_filter_attrs", _tags_sql(_joined(_KEPT), TAGS + TABLES))
+def x20(spark, sf):
+    return _tags(spark, sf, TAGS + TABLES, markup.filter_attrs)
+
+
+_NEW_STYLE = m.style_value(m.attr("style"), "name = 'img'")
+_STYLED = f"""list_transform(list_filter(attrs, lambda a: NOT ({_AN} = 'style' AND ({_NEW_STYLE}) = '')),
+    lambda a: CASE WHEN {_AN} = 'style' THEN regexp_extract(a, '^[^=]*=') || '"' || ({_NEW_STYLE}) || '"' ELSE a END)"""
+
+
+@query("x16_filter_styles", _tags_sql(_joined(_STYLED), TAGS + TABLES + BLOCKS))
+def x16(spark, sf):
+    return _tags(spark, sf, TAGS + TABLES + BLOCKS, markup.filter_style)
+
+
+def _whole(which: str) -> str:
+    return f"CAST(trunc(try_cast({m.strip(m.attr(which))} AS DOUBLE)) AS BIGINT)"
+
+
+_SIZED = f"""list_transform(list_filter(attrs, lambda a: name <> 'img' OR NOT ({_AN} = 'width' AND {_whole('width')} IS NULL OR {_AN} = 'height' AND {_whole('height')} IS NULL)),
+    lambda a: CASE WHEN name = 'img' AND {_AN} IN ('width', 'height') THEN {_AN} || '="' || CASE {_AN} WHEN 'width' THEN {_whole('width')} ELSE {_whole('height')} END || '"' ELSE a END)"""
+
+
+@query("x17_int_dimensions", _tags_sql(_joined(_SIZED), TAGS + ICONS))
+def x17(spark, sf):
+    return _tags(spark, sf, TAGS + ICONS, markup.int_dimensions)
+
+
+_PX = "CASE " + m.attr("size") + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fv.FONT_SIZE_PX.items()) + f" ELSE {q(fv.FONT_SIZE_DEFAULT_PX)} END"
+_FONT = f"""array_to_string(list_filter([CASE WHEN {m.attr('face')} <> '' THEN 'font-family:' || {m.attr('face')} END, CASE WHEN {m.attr('size')} <> '' THEN 'font-size:' || {_PX} || 'px' END],
+    lambda x: x IS NOT NULL), ';')"""
+_RENAMED = f"""CASE name WHEN 'font' THEN '<span' || coalesce(array_to_string(list_transform(list_filter(attrs, lambda a: {_AN} NOT IN ('color', 'face', 'size')), lambda a: ' ' || a), ''), '')
+    || CASE WHEN {_FONT} = '' THEN '' ELSE ' style="' || {_FONT} || '"' END || '>' WHEN 'row' THEN {_joined('attrs', "'tr'")} WHEN 'cell' THEN {_joined('attrs', "'td'")} ELSE raw END"""
+
+
+@query("x15_rename_tags", _tags_sql(_RENAMED, TAGS))
+def x15(spark, sf):
+    return _tags(spark, sf, TAGS, markup.rename_tag)
