@@ -48,8 +48,8 @@ def u2(spark, sf):
     return p.select("page_id", F.array_join(images.merge(cover, images.extract(F.col("html"), F.col("url"))), "|").alias("images"))
 
 
-@query("x25_lead_image", "SELECT page_id, replace(html, '<body>', '<body><p><img src=\"https://cdn.example.net/a?i=' || page_id || '&amp;b=1\" alt=\"Lead Image\"></p>') AS led FROM pages")
-def x25(spark, sf):
+@query("x5_lead_image", "SELECT page_id, replace(html, '<body>', '<body><p><img src=\"https://cdn.example.net/a?i=' || page_id || '&amp;b=1\" alt=\"Lead Image\"></p>') AS led FROM pages")
+def x5(spark, sf):
     lead = F.concat(F.lit("https://cdn.example.net/a?i="), F.col("page_id").cast("string"), F.lit("&b=1"))
     return table(spark, sf, "pages").select("page_id", images.insert_lead_image(F.col("html"), F.array(lead)).alias("led"))
 
@@ -69,8 +69,8 @@ def x9(spark, sf):
     return table(spark, sf, "pages").select("page_id", rules.apply_rules(F.col("html"), some).alias("cut"))
 
 
-@query("x22_restore_images", f"SELECT page_id, html || replace(replace({suffix_sql('<graphic src=' + chr(34) + '{id}.png' + chr(34) + '>x</graphic>')}, '<graphic', '<img'), '</graphic', '</img') AS html FROM pages")
-def x22(spark, sf):
+@query("x4_restore_images", f"SELECT page_id, html || replace(replace({suffix_sql('<graphic src=' + chr(34) + '{id}.png' + chr(34) + '>x</graphic>')}, '<graphic', '<img'), '</graphic', '</img') AS html FROM pages")
+def x4(spark, sf):
     p = suffixed(spark, sf, '<graphic src="{id}.png">x</graphic>')
     return p.select("page_id", markup.restore_images(F.col("html")).alias("html"))
 
@@ -92,12 +92,6 @@ def x0(spark, sf):
 _EMOJI = "\U0001f600"
 
 
-@query("x20_mark_emoji", f"SELECT page_id, html || page_id || '<span class=\"emoji\">{_EMOJI}</span>' AS html FROM pages")
-def x20(spark, sf):
+@query("x23_mark_emoji", f"SELECT page_id, html || page_id || '<span class=\"emoji\">{_EMOJI}</span>' AS html FROM pages")
+def x23(spark, sf):
     return suffixed(spark, sf, "{id}" + _EMOJI).select("page_id", markup.wrap_emoji(F.col("html")).alias("html"))
-
-
-@query("f12_emoji_codepoint", f"SELECT page_id, '1f600-' || lower(to_hex(97 + page_id % 26)) AS name FROM pages")
-def f12(spark, sf):
-    text = F.concat(F.lit(_EMOJI), F.char(F.lit(97) + F.col("page_id") % 26))
-    return table(spark, sf, "pages").select("page_id", markup.emoji_codepoint(text).alias("name"))

@@ -144,17 +144,6 @@ def f9(spark, sf):
     )
 
 
-@query(
-    "f10_srcset_last",
-    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'b' || md5(html) || '.jpg' ELSE 'a' || md5(html) || '.jpg' END AS picked FROM pages",
-)
-def f10(spark, sf):
-    i = F.md5("html")
-    one = F.concat(F.lit(" a"), i, F.lit(".jpg 300w, "))
-    two = F.concat(F.lit("a"), i, F.lit(".jpg 1x,\n b"), i, F.lit(".jpg 2x , "))
-    return table(spark, sf, "pages").select("page_id", images.srcset_last(F.when(F.col("page_id") % 3 == 0, two).otherwise(one)).alias("picked"))
-
-
 @query("f11_asset_filename", "SELECT page_id, 'image_' || left(md5(url), 12) || '.jpg' AS filename FROM pages")
 def f11(spark, sf):
     return table(spark, sf, "pages").select("page_id", images.asset_filename(F.col("url")).alias("filename"))
