@@ -35,10 +35,11 @@ def running_number(
     )
 
 
-def first_n(df: DataFrame, group: list[str], pos: str, limit: str, max_limit: int) -> DataFrame:
-    """Rows whose rank by ``pos`` inside ``group`` is at most the ``limit`` column (bounded by ``max_limit``).
+def first_n(df: DataFrame, group: list[str], pos: str, limit: str, max_limit: int, number: str | None = None) -> DataFrame:
+    """Rows whose rank by ``pos`` inside ``group`` is at most the ``limit`` column (bounded by ``max_limit``); ``number`` keeps the rank.
 
     The literal bound lets each task drop all but its first ``max_limit`` rows per group before the shuffle.
     """
     rank = F.row_number().over(W.partitionBy(*group).orderBy(pos))
-    return df.withColumn("_rn", rank).filter(F.col("_rn") <= max_limit).filter(F.col("_rn") <= F.col(limit)).drop("_rn")
+    top = df.withColumn("_rn", rank).filter(F.col("_rn") <= max_limit).filter(F.col("_rn") <= F.col(limit))
+    return top.withColumnRenamed("_rn", number) if number else top.drop("_rn")

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fv
 from broadsheet.functions import clean, dates, images
-from broadsheet.functions.textops import first_filled, strip
+from broadsheet.functions.textops import decode_entities, first_filled, strip
 from broadsheet.operators import filters
 from broadsheet.sources import registry
 from broadsheet.sources.config import option
 
 _LINK = "array<struct<_VALUE:string,_href:string,_rel:string>>"
-_ENTRY = (
-    "struct<title:string,link:" + _LINK + ",guid:struct<_VALUE:string,_isPermaLink:string>,"
-    "author:struct<_VALUE:string,name:string>,`dc:creator`:string,pubDate:string,published:string,"
-    "`content:encoded`:string,content:string,summary:string,description:string,"
-    "category:array<struct<_VALUE:string,_term:string>>>"
-)
+_FIELDS = {
+    "title": "string", "link": _LINK, "guid": "struct<_VALUE:string,_isPermaLink:string>", "author": "struct<_VALUE:string,name:string>",
+    "`dc:creator`": "string", "pubDate": "string", "published": "string", "`content:encoded`": "string", "content": "string",
+    "summary": "string", "description": "string", "category": "array<struct<_VALUE:string,_term:string>>",
+}
+_ENTRY = f"struct<{','.join(f'{name}:{kind}' for name, kind in _FIELDS.items())}>"
+_ONE = ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items()) + ", _bad string"
 _FEED = (
     f"channel struct<title:string,item:array<{_ENTRY}>>, item array<{_ENTRY}>, title string, entry array<{_ENTRY}>, "
     "_bad string"
@@ -41,15 +42,31 @@ def _link(e: Column) -> Column:
     )
 
 
+def _mended(xml: Column) -> Column:
+    """An entry whose stray ampersands and unknown entities are text; sections of plain data are left alone."""
+    plain = F.regexp_replace(xml, "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)", "&amp;")
+    return F.when(xml.contains("<![CDATA["), xml).otherwise(plain)
+
+
+def _rescued(payload: Column) -> Column:
+    """Entries of a feed that is no well-formed document: each complete one is read by itself."""
+    found = F.regexp_extract_all(payload, F.lit(r"(?is)<(item|entry)[\s>].*?</\1\s*>"), F.lit(0))
+    read = F.filter(F.transform(found, lambda x: F.from_xml(_mended(x), _ONE, _XML)), lambda e: e["_bad"].isNull())
+    return F.transform(read, lambda e: e.dropFields("_bad")).cast(f"array<{_ENTRY}>")
+
+
 def entries(payloads: DataFrame) -> DataFrame:
     """One row per feed with its entries: source_pos, source_title, items, broken."""
-    # a document cut short still yields the entries before the damage
-    parsed = payloads.select("source_pos", F.from_xml("payload", _FEED, _XML).alias("f"))
+    parsed = payloads.select("source_pos", "payload", F.from_xml("payload", _FEED, _XML).alias("f"))
+    broken = F.col("f._bad").isNotNull()
+    whole = F.coalesce(F.col("f.channel.item"), F.col("f.entry"), F.col("f.item"), F.array().cast(f"array<{_ENTRY}>"))
+    head = F.split("payload", r"(?i)<(?:item|entry)[\s>]", 2)[0]
+    first_title = strip(F.regexp_extract(head, r"(?i)<title[^>]*>([^<]*)</title", 1))
     return parsed.select(
         "source_pos",
-        F.coalesce(F.col("f.channel.title"), F.col("f.title"), F.lit("")).alias("source_title"),
-        F.coalesce(F.col("f.channel.item"), F.col("f.entry"), F.col("f.item"), F.array().cast(f"array<{_ENTRY}>")).alias("items"),
-        F.col("f._bad").isNotNull().alias("broken"),
+        F.when(broken, decode_entities(first_title)).otherwise(F.coalesce(F.col("f.channel.title"), F.col("f.title"), F.lit(""))).alias("source_title"),
+        F.when(broken, _rescued(F.col("payload"))).otherwise(whole).alias("items"),
+        broken.alias("broken"),
     )
 
 

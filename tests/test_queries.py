@@ -2,7 +2,7 @@
 
 import pytest
 
-from broadsheet.plans import catalog, edition_queries, markup_queries, relational_queries, scalar_queries  # noqa: F401
+from broadsheet.plans import (  # noqa: F401
 from tests.oracle import DATA, compare
 
 
