@@ -59,16 +59,6 @@ def x8(spark, sf):
     return table(spark, sf, "pages").select("page_id", rules.delete_exact(F.col("html"), F.lit("<p>")).alias("cut"))
 
 
-@query(
-    "x9_rule_sequence",
-    "SELECT page_id, replace(replace(html, '<b>', '<b>'), '<br>', '') AS cut FROM pages",
-)
-def x9(spark, sf):
-    rule = lambda t, v: F.struct(F.lit(t).alias("type"), F.lit(v).alias("value"))
-    some = F.array(rule("tail", "x"), rule("exact", ""), rule("exact", "<br>"), rule("start", "no such text here"), rule("end", ""))
-    return table(spark, sf, "pages").select("page_id", rules.apply_rules(F.col("html"), some).alias("cut"))
-
-
 @query("x4_restore_images", f"SELECT page_id, html || replace(replace({suffix_sql('<graphic src=' + chr(34) + '{id}.png' + chr(34) + '>x</graphic>')}, '<graphic', '<img'), '</graphic', '</img') AS html FROM pages")
 def x4(spark, sf):
     p = suffixed(spark, sf, '<graphic src="{id}.png">x</graphic>')

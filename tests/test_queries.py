@@ -2,7 +2,9 @@
 
 import pytest
 
-from broadsheet.plans import (  # noqa: F401
+from broadsheet.plans import (  # noqa: F401  (register themselves)
+    asset_queries, catalog, edition_queries, markup_queries, relational_queries, run_queries, scalar_queries, source_queries, stream_queries, tree_queries,
+)
 from tests.oracle import DATA, compare
 
 
