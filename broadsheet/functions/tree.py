@@ -263,9 +263,10 @@ def small_icon_links(tokens: Column) -> Column:
 
 
 def _cut_at(tokens: Column, hits: Column) -> Column:
-    return F.transform(
-        tokens, lambda t, i: token(t, F.when(F.array_contains(hits, i), CUT).otherwise(t["act"]), t["out"])
-    )
+    def one(t: Column, i: Column) -> Column:
+        return F.when(F.array_contains(hits, i), token(t, F.lit(CUT), t["out"])).otherwise(t)
+
+    return F.transform(tokens, lambda t, i: F.when((t["name"] == "a") & (t["kind"] == "open"), one(t, i)).otherwise(t))
 
 
 def cut_small_icons(tokens: Column) -> Column:
@@ -376,7 +377,8 @@ def unwrap_tables(tokens: Column) -> Column:
             part = t["name"].isin(fv.TABLE_PART_TAGS) & F.exists(spans, lambda s: (s["first"] < i) & (i < s["last"]))
             return F.when(table | part, UNWRAP).otherwise(t["act"])
 
-        marked = F.transform(tokens, lambda t, i: token(t, act(t, i), t["out"]))
+        tabular = lambda t: t["name"].isin("table", *fv.TABLE_PART_TAGS)
+        marked = F.transform(tokens, lambda t, i: F.when(tabular(t), token(t, act(t, i), t["out"])).otherwise(t))
         return F.when(F.size(spans) > 0, marked).otherwise(tokens)
 
     return let(F.when(has_tables, layout_tables(tokens)).otherwise(none), mark)
