@@ -5,8 +5,8 @@ partition is summed over the partitions before it, which gives the global offset
 staged ids once and cuts each document at the multiples of the window; a document over several windows yields one boundary
 record per piece.  Only the totals (one row per input partition) are ordered in one place; ids are never shuffled.
 
-The vocabulary is the one of ``byte_bpe_50k.json`` by its ranks, which gives the same ids as the tokenizers library;
-strings of special tokens in a text are ordinary text.  Id 0 ends every document.
+The vocabulary is the one of ``byte_bpe_50k.json`` by its ranks and added tokens, which gives the same ids as the tokenizers
+library: an added token in a text is its own id.  Id 0 ends every document.
 
 Defined results: a null or empty text is the end id alone; rows that repeat a doc_id are packed each for itself; a very long
 text is cut into as many windows as it needs; an empty table gives no pieces; other columns are ignored.
@@ -36,10 +36,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 BATCH = 1 << 22
 
 
-def encode(documents: DataFrame, raw: bytes) -> DataFrame:
+def encode(documents: DataFrame, raw: bytes, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Ids of every document (16 bits each, the end id included) with the ids before it in its partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = tokens.encoder(raw).encode_ordinary
+        encoded = tokens.encode_all(raw, added)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[tuple] = []
@@ -100,8 +100,9 @@ def cut(encoded: DataFrame, window: int = WINDOW, with_ids: bool = False) -> Dat
 
 def pack(documents: DataFrame, raw: bytes | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Encode, stage and cut."""
+    added = tokens.plain_added() if raw is None else ()
     raw = tokens.rank_file(tokens.PLAIN) if raw is None else raw
-    return cut(stage(encode(documents, raw), "pack-ids"), window, with_ids)
+    return cut(stage(encode(documents, raw, added), "pack-ids"), window, with_ids)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

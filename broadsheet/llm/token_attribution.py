@@ -91,12 +91,13 @@ def count(documents: DataFrame, raw: bytes | None = None, rule: str = "first", s
     """Tokens per section.  ``sections`` names a column array<struct<start, stop>> of ascending disjoint character spans; without it the lines of the text are the sections."""
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule}")
+    added = tokens.plain_added() if raw is None else ()
     raw = tokens.rank_file(tokens.PLAIN) if raw is None else raw
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = tokens.encoder(raw).encode_ordinary
-        sizes = np.zeros(max(tokens.ranks(raw).values()) + 1, np.int64)
-        for b, i in tokens.ranks(raw).items():
+        encoded = tokens.encode_all(raw, added)
+        sizes = np.zeros(max([*tokens.ranks(raw).values(), *(i for _, i in added)]) + 1, np.int64)
+        for b, i in [*tokens.ranks(raw).items(), *((t.encode(), i) for t, i in added)]:
             sizes[i] = len(b)
         for batch in batches:
             cells: list[list] = [[] for _ in _RESULT]

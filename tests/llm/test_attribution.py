@@ -37,7 +37,6 @@ def _brute(text, encoder, rule):
 def test_lines(spark):
     texts = {k: v for k, v in _documents(spark).items()}
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
     df = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "doc_id long, text string, section int").repartition(3)
     for rule in ta.RULES:
         got = {}

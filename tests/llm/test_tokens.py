@@ -12,6 +12,7 @@ from broadsheet.llm import byte_bpe, packing, tokens
 
 ODD = {
     9001: None, 9002: "", 9003: "  \n\t x  don't ''s   ", 9004: "a\x00b\x1c é ß 日本   12 ½ é", 9005: "z" * 30000, 9006: "<|endoftext|> x",
+    9007: "a <|endoftext|> b", 9008: "x <|endoftext|><|endoftext|>", 9009: "<|endoftext|>", 9010: "a  <|endoftext|>  \n<|endoftext| >",
 }
 
 
@@ -25,7 +26,6 @@ def _documents(spark):
 def test_packing(spark):
     texts, df = _documents(spark)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {k: t.encode(v or "", add_special_tokens=False).ids + [0] for k, v in texts.items()}
     pieces = packing.digest(df).collect()
     seen = {}
