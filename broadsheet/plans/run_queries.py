@@ -258,3 +258,62 @@ def f15(spark, sf):
     og = F.concat(F.lit('<meta property="og:title" content=" og '), F.col("page_id").cast("string"), F.lit(' ">'))
     html = F.when(n == 0, F.concat(og, bare)).when(n < 3, bare).otherwise(F.col("html"))
     return p.select("page_id", clean.page_title(html, F.when(n == 1, "configured").when(n == 3, "not used"), F.col("url")).alias("title"))
+
+
+# --- S1, P2, G1 to G3: configuration, guard, adapters ---------------------------------------------------------------
+@query(
+    "s1_read_config",
+    f"""SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INT) AS source_pos, 'web' AS type, c_name AS src, CASE c_custkey % 3 WHEN 1 THEN c_nationkey ELSE 0 END AS priority,
+        CASE WHEN c_custkey % 2 = 0 THEN 'N' ELSE 'Y' END AS keep_link, 'N' AS full_text, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END AS n_rules, {fv.DEFAULT_LIMIT} AS run_limit FROM customer""",
+)
+def s1(spark, sf):
+    """customer as the entries of one configuration document, in key order; priorities are numbers, '' or absent."""
+    from broadsheet.sources import config
+
+    c = table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    text = lambda name, value: F.concat(F.lit(f', "{name}": '), value)
+    entry = F.concat(
+        F.lit('{"type": "web", "src": '), F.to_json(F.struct(F.col("c_name").alias("x"))).substr(F.lit(6), F.length("c_name") + 2),
+        F.when(key % 3 == 1, text("priority", F.col("c_nationkey").cast("string"))).when(key % 3 == 2, F.lit(', "priority": ""')).otherwise(""),
+        F.when(key % 2 == 0, F.lit(', "keep_link": "N"')).otherwise(""),
+        F.when(key % 4 == 0, F.lit(', "exclude": [{"type": "exact", "value": "a"}, {"type": "end", "value": "b"}]')).otherwise(""), F.lit("}"),
+    )
+    path = scratch.folder(spark, "config")
+    # the configuration is one document that names every source
+    body = c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", entry.alias("e")))), lambda x: x["e"]), ",\n").alias("body"))
+    body.select(F.concat(F.lit('{"title": {"text": "T"}, "body": ['), "body", F.lit("]}")).alias("value")).coalesce(1).write.text(path)
+    rows = config.read_config(spark, path)
+    return rows.select("source_pos", "type", "src", "priority", "keep_link", "full_text", F.coalesce(F.array_size("exclude"), F.lit(0)).alias("n_rules"), F.lit(config.read_limit(spark, path)).alias("run_limit"))
+
+
+@query(
+    "p2_new_content",
+    """SELECT unnest(['all', 'of failed sources', 'none']) AS articles, unnest([count(*) FILTER (CAST(substr(source, 4) AS INT) % 3 <> 0) > 0,
+        count(*) FILTER (CAST(substr(source, 4) AS INT) % 3 = 0 AND CAST(substr(source, 4) AS INT) % 3 <> 0) > 0, false]) AS any_new FROM documents""",
+)
+def p2(spark, sf):
+    """Whether an edition is worth it: for all documents, for those of failed sources, and for none."""
+    d = table(spark, sf, "documents").withColumn("source_pos", F.substring("source", 4, 10).cast("int"))
+    runs = d.select("source_pos").distinct().withColumn("success", F.col("source_pos") % 3 != 0)
+    cases = {"all": d, "of failed sources": d.filter("source_pos % 3 = 0"), "none": d.filter("source_pos IS NULL")}
+    return spark.createDataFrame([(name, edition.has_new_content(rows, runs)) for name, rows in cases.items()], "articles string, any_new boolean")
+
+
+@query(
+    "g3_isolated_sources",
+    """WITH f AS (SELECT DISTINCT CAST(doc_id // 20 AS INT) AS feed FROM documents), m AS (SELECT feed, feed % 3 AS kind FROM f)
+    SELECT feed AS source_pos, CASE kind WHEN 0 THEN feed % 5 < 4 WHEN 1 THEN feed % 6 <> 5 ELSE false END AS success,
+        CASE kind WHEN 0 THEN CASE WHEN feed % 5 = 4 THEN 'Failed to parse RSS feed: ' || CASE WHEN feed % 2 = 0 THEN 'No entries found' ELSE 'not well-formed' END END
+            WHEN 1 THEN CASE WHEN feed % 6 = 5 THEN 'API error: ' || CASE WHEN feed % 12 = 11 THEN 'Unknown API error' ELSE 'bad key ' || feed END END ELSE 'No payload landed' END AS error FROM m""",
+)
+def g3(spark, sf):
+    """Feeds and mailboxes side by side, some of them broken, and sources that landed nothing: every source has a run, none stops the others."""
+    from broadsheet.plans.source_queries import _configured, mail_payloads
+
+    feeds_landed, mails_landed = feed_payloads(spark, sf).filter(F.col("source_pos") % 3 == 0), mail_payloads(spark, sf).filter(F.col("source_pos") % 3 == 1)
+    kind = F.element_at(F.lit(["rss", "mail", "web"]), (F.col("source_pos") % 3 + 1).cast("int"))
+    sources = _configured(feed_payloads(spark, sf), "source_pos").withColumn("type", kind).withColumn("src", F.lit("s"))
+    landed = {"rss": feeds_landed, "mail": mails_landed}
+    _, runs = daily.collect_sources(spark, sources, landed.get, 15, dt.datetime(2024, 5, 6))
+    return runs.select("source_pos", "success", "error")
