@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.operators import ledger
-from broadsheet.plans.catalog import query, table
+from broadsheet.plans.catalog import COPIES_SQL, copies, query, table
 from broadsheet.sources import scratch
 from broadsheet.streaming import ingest
 
@@ -64,6 +64,22 @@ def t1(spark, sf):
     return written.join(noted, ["content_id", "run_id"], "full").select("run_id", "source_pos", "item_pos", "content_id")
 
 
+@query(
+    "t1_ingest_documents",
+    f"""WITH {COPIES_SQL} SELECT CAST(doc_id % 3 AS BIGINT) AS run_id, source_pos, item_pos, content_id FROM cop
+    WHERE content_id NOT IN (SELECT content_id FROM cop WHERE doc_id % 10 = 0) QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY doc_id % 3, source_pos, item_pos) = 1""",
+)
+def t1_documents(spark, sf):
+    """documents with their whole texts, landing in three parts; every tenth is known from an earlier run."""
+    rows = copies(spark, sf).withColumn("part", (F.col("doc_id") % 3).cast("int"))
+    known, out, checkpoint = (scratch.folder(spark, n) for n in ("ledger", "ingested", "checkpoint"))
+    earlier = ledger.with_ids(rows.drop("content").filter("doc_id % 10 = 0"))
+    ledger.append(spark, earlier.groupBy("content_id").agg(F.min("item_pos").alias("ord")), known, 900)
+    landed(rows.drop("doc_id", "lang"), 3, lambda stream: ingest.ingest(spark, stream, known, out, checkpoint))
+    written = spark.read.parquet(out).withColumn("run_id", F.col("run_id").cast("long"))
+    return written.select("run_id", "source_pos", "item_pos", "content_id")
+
+
 # --- T-2: dedup with bounded state ----------------------------------------------------------------------------------
 _STARTS = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25"]
 
