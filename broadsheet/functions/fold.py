@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SLICE = 64
+SLICE = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

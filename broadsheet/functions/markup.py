@@ -256,7 +256,8 @@ def has_emoji(text: Column) -> Column:
 
 
 def wrap_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, f"({fv.EMOJI})", '<span class="emoji">$1</span>')
+    """Each emoji inside a marked span; texts without one are passed over by a single character class."""
+    return F.when(has_emoji(text), F.regexp_replace(text, f"({fv.EMOJI})", '<span class="emoji">$1</span>')).otherwise(text)
 
 
 def find_emoji(html: Column) -> Column:

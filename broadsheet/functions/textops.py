@@ -57,8 +57,10 @@ def truncate(col: Column, n: int = 200) -> Column:
 
 
 def sanitize_filename(col: Column) -> Column:
-    name = strip(F.regexp_replace(col, f"[{fv.ILLEGAL_FILENAME_CLASS}]", "_"))
-    return F.left(F.regexp_replace(name, f"{SPACE}+", "_"), F.lit(fv.MAX_FILENAME))
+    """Illegal characters and runs of white space as '_', trimmed and cut; one pattern pass over the text."""
+    name = F.trim(F.regexp_replace(col, f"{SPACE}+", " "))
+    illegal = fv.ILLEGAL_FILENAME_CLASS.replace("\\\\", "\\") + " "
+    return F.left(F.translate(name, illegal, "_" * len(illegal)), F.lit(fv.MAX_FILENAME))
 
 
 def strip_fences(col: Column) -> Column:

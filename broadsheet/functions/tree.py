@@ -366,20 +366,45 @@ def layout_tables(tokens: Column) -> Column:
     return F.aggregate(events, start, walk, lambda acc: acc["found"])
 
 
+def _inside_spans(tokens: Column, spans: Column) -> Column:
+    """Per token '1' for the tables that are spans and the table parts inside one; one pass, for pages of very many tables."""
+    ordered = F.array_sort(spans)
+    indexed = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t["name"].alias("name"), t["kind"].alias("kind")))
+
+    def walk(sorted_spans: Column) -> Column:
+        def step(get, then, t):
+            span = F.get(sorted_spans, get("next"))
+            opened = (t["name"] == "table") & (t["kind"] == "open") & F.coalesce(span["first"] == t["i"], F.lit(False))
+            inside = t["name"].isin(fv.TABLE_PART_TAGS) & (t["i"] < get("until"))
+            return F.when(opened, then(F.lit("1"), next=get("next") + 1, until=F.greatest(get("until"), span["last"]))).otherwise(
+                then(F.when(inside, "1").otherwise("0"))
+            )
+
+        return fold_emit(indexed, {"next": F.lit(0), "until": F.lit(-1)}, step, lambda get: F.lit(""))
+
+    return F.split(let(ordered, walk), "")
+
+
 def unwrap_tables(tokens: Column) -> Column:
     """Annotated tokens with layout tables (and every table part inside one) set to be unwrapped."""
     has_tables = F.exists(tokens, lambda t: t["name"] == "table")
     none = F.array().cast("array<struct<first:int,last:int>>")
 
+    def tabular(t: Column) -> Column:
+        return t["name"].isin("table", *fv.TABLE_PART_TAGS)
+
     def mark(spans: Column) -> Column:
         def act(t: Column, i: Column) -> Column:
             table = (t["name"] == "table") & F.exists(spans, lambda s: s["first"] == i)
             part = t["name"].isin(fv.TABLE_PART_TAGS) & F.exists(spans, lambda s: (s["first"] < i) & (i < s["last"]))
             return F.when(table | part, UNWRAP).otherwise(t["act"])
 
-        tabular = lambda t: t["name"].isin("table", *fv.TABLE_PART_TAGS)
-        marked = F.transform(tokens, lambda t, i: F.when(tabular(t), token(t, act(t, i), t["out"])).otherwise(t))
-        return F.when(F.size(spans) > 0, marked).otherwise(tokens)
+        few = F.transform(tokens, lambda t, i: F.when(tabular(t), token(t, act(t, i), t["out"])).otherwise(t))
+        many = let(
+            _inside_spans(tokens, spans),
+            lambda hit: F.transform(tokens, lambda t, i: F.when(F.get(hit, i) == "1", token(t, F.lit(UNWRAP), t["out"])).otherwise(t)),
+        )
+        return F.when(F.size(spans) > 32, many).when(F.size(spans) > 0, few).otherwise(tokens)
 
     return let(F.when(has_tables, layout_tables(tokens)).otherwise(none), mark)
 
@@ -394,7 +419,7 @@ def unwrap_layout_tables(html: Column) -> Column:
 
 # --- empty elements -------------------------------------------------------------------------------------------------
 def is_blank_text(raw: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(raw, "&nbsp;|&#160;", " "), f"{SPACE}+", "") == ""
+    return raw.rlike(rf"^(?:{SPACE}|&nbsp;|&#160;)*+\z")
 
 
 def drop_empty(html: Column) -> Column:

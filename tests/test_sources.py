@@ -123,3 +123,30 @@ def test_ledger_cap_and_runs(spark, tmp_path):
         assert ledger.stats(ledger.read(spark, path), run).first() == (total, len(ids))
     (tmp_path / "ids.txt").write_text(" aaa \n\nbbb\n")
     assert [r.content_id for r in ledger.read_text(spark, str(tmp_path / "ids.txt")).collect()] == ["aaa", "bbb"]
+
+
+def test_damaged_feeds_give_their_complete_entries(spark):
+    item = lambda k, text: f"<item><title>t{k}</title><link>https://e.org/{k}?a=1&amp;b=2</link><description>{text}</description></item>"
+    whole = "<rss><channel><title>News &amp; more</title>" + item(0, "zero") + item(1, "AT&T &nbsp; x") + item(2, "<![CDATA[a < b & c]]>")
+    payloads = spark.createDataFrame([(0, whole + "<item><title>cut"), (1, whole + "</channel></rss>"), (2, "<rss><channel><title>x</title><item>"), (3, "no feed")], "source_pos int, payload string")
+    rows, runs = feeds.parse_feed(payloads, _sources(spark, *[{"source_pos": k, "type": "rss", "src": "s"} for k in range(4)]))
+    got = {(r.source_pos, r.item_pos): (r.title, r.url, r.content) for r in rows.collect()}
+    assert got == {(s, k): (f"t{k}", f"https://e.org/{k}?a=1&b=2", c) for s in (0, 1) for k, c in enumerate(["zero", "AT&T &nbsp; x", "a < b & c"])}
+    done = {r.source_pos: (r.success, r.source_title) for r in runs.collect()}
+    assert done == {0: (True, "News & more"), 1: (True, "News & more"), 2: (False, None), 3: (False, None)}
+
+
+def test_mail_options_apply_in_a_run(spark):
+    mails = [{"subject": str(k), "from": "a@b.c", "text": "x", "timestamp": str(k * 1000) if k else None, "tag": "ab"[k % 2]} for k in range(6)]
+    box = {"result": "success", "emails": mails}
+    landed = _payloads(spark, box, box, box, box)
+    sources = spark.createDataFrame(
+        [(0, "n.a", None, None), (1, "n", None, {"tag": "b", "limit": "2", "offset": "1"}), (2, "n", None, {"timestamp_from": "2000", "timestamp_to": "4000"}), (3, "n", "3, 5", {"tag_prefix": ""})],
+        "source_pos int, src string, delete string, metadata map<string,string>",
+    )
+    ctx = registry.Context(sources, {"mail": landed}.get, 15, None)
+    rows, _ = registry.get("mail")(ctx)
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.source_pos, r.item_pos)):
+        got.setdefault(r.source_pos, []).append(r.title)
+    assert got == {0: ["4", "2", "0"], 1: ["3", "1"], 2: ["4", "3", "2"], 3: ["4", "2", "1", "0"]}
