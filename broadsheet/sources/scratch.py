@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared place named by spark.checkpoint.dir; without one only a local session gets a place of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+def shared(spark: SparkSession) -> str:
+    """The shared place named by spark.checkpoint.dir; without one only a local session, as in tests, gets a place of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="broadsheet-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+        named = tempfile.mkdtemp(prefix="broadsheet-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared place."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
