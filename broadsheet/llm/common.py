@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.sources.scratch import shared
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,12 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="broadsheet-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only in a local session without one."""
+    return shared(spark)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
