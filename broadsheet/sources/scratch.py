@@ -12,7 +12,7 @@ def shared(spark: SparkSession) -> str:
     """The shared place named by spark.checkpoint.dir; without one only a local session, as in tests, gets a place of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="broadsheet-")
         spark.conf.set("spark.checkpoint.dir", named)
