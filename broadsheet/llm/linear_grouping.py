@@ -1,6 +1,6 @@
 """Suffix array by grouping suffixes by their Lyndon prefixes.
 
-Phase one keeps the suffixes in groups, at first by their first byte, and visits the groups from the greatest down.  The
+Phase one keeps the suffixes in groups, at first by their first symbol, and visits the groups from the greatest down.  The
 visited group is final: its suffixes share their longest Lyndon prefix.  Each of its suffixes looks for the nearest suffix
 before it that stands in a smaller group, by following the pointers that visited suffixes have left; that suffix's prefix
 grows by the visited group's, so it moves up within its own group, the further the more often it was reached.
@@ -15,11 +15,11 @@ from itertools import groupby
 import numpy as np
 
 
-def suffix_array(text: bytes) -> np.ndarray:
-    """Start positions of the suffixes of ``text`` in ascending order."""
+def suffix_array(text: bytes | np.ndarray) -> np.ndarray:
+    """Start positions of the suffixes of ``text``, bytes or symbols numbered densely from 0, in ascending order."""
     n = len(text) + 1  # the empty suffix at the end is the least
     values = np.zeros(n, np.int32)
-    values[:-1] = np.frombuffer(text, np.uint8)
+    values[:-1] = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
     values[:-1] += 1
     first_order = np.argsort(values, kind="stable")
     counts = np.bincount(values)

@@ -7,8 +7,8 @@ bytes) cover each other whole:
 1. Texts are laid into blocks in a table bucketed by block, so that later passes read them without a shuffle.
 2. The runs of a block, equal ones once with their least document, go to buckets of names.  A run whose equal has a smaller
    document is covered.  A run whose name has several contexts may share some of its windows: it is open.
-3. The open stretches of a block are sorted by ``linear_grouping.suffix_array``, at most ``SORTED`` bytes at a time.  Suffixes
-   that agree in their first 50 bytes stand side by side; all but those of the least document are covered.
+3. The open stretches of a block are sorted by ``linear_grouping.suffix_array``, at most ``SORTED`` bytes at a time, as strings
+   of symbols of ``SYMBOL`` bytes.  Suffixes that agree in their first 50 bytes stand side by side; all but those of the least document are covered.
 4. The windows of the least documents meet in buckets of window hashes across blocks; where another block has a smaller
    document they are covered, too.
 5. Covered bytes are cut out of the texts.
@@ -47,8 +47,12 @@ NAME = 32
 BLOCK = 8 << 20
 #: small enough for the arrays of one sort to stay in the processor's cache
 SORTED = 1 << 14
+#: bytes of a symbol of the sort, those of a machine word
+SYMBOL = 8
 CONTEXTS = 64
 BUCKET_BYTES = 8 << 20
+#: texts are hashed together up to about so many bytes: few calls, and arrays that stay in the cache
+JOINED = 1 << 16
 
 _draw = np.random.default_rng(50)
 _BYTE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,19 +110,24 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - size : width - size + n])
 
 
-def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, contents, first windows and ends of the runs of a text."""
-    if len(text) < LENGTH:
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
-    names, windows = hashes(np.frombuffer(text, np.uint8), NAME, LENGTH)
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Names, contents, text numbers, first windows and ends of the runs of texts of at least ``LENGTH`` bytes."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    names, windows = hashes(np.frombuffer(b"".join(texts), np.uint8), NAME, LENGTH)
     name = _least(names, LENGTH - NAME + 1)
-    start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    new = np.concatenate([[True], name[1:] != name[:-1]])
+    new[ends[:-1]] = new[ends[:-1] - LENGTH + 1] = True
+    start = np.flatnonzero(new)
     end = np.append(start[1:], len(name))
     # a run's content is what its windows say, in order
     place = np.arange(len(name), dtype=np.uint64) - np.repeat(start, end - start).astype(np.uint64)
     content = np.add.reduceat(_mix(windows + place * _FACTOR[6]), start)
-    return name[start], content, start, end
+    number = np.searchsorted(ends, start, "right")
+    whole = start + LENGTH <= ends[number]  # windows that reach into the next text are none
+    start, end, content, number = start[whole], end[whole], content[whole], number[whole]
+    begin = (ends - sizes)[number]
+    return name[start], content, number, start - begin, end - begin
 
 
 def _blocks(documents: DataFrame, limit: int, others: list[str]) -> DataFrame:
@@ -148,20 +157,39 @@ def _blocks(documents: DataFrame, limit: int, others: list[str]) -> DataFrame:
 
 def _block_runs(docs: list[tuple]) -> tuple[np.ndarray, ...]:
     """Names, contents, document numbers, first windows and ends of all runs of a block."""
-    parts = []
-    for k, (doc, body, *_) in enumerate(docs):
-        if doc is not None and len(body) >= LENGTH:
-            name, content, start, end = runs(body)
-            parts.append((name, content, np.full(len(name), k), start, end))
+    parts, held, size = [], [], 0
+    long = [k for k, (doc, body, *_) in enumerate(docs) if doc is not None and len(body) >= LENGTH]
+    for k in long:
+        held.append(k)
+        size += len(docs[k][1])
+        if size >= JOINED or k == long[-1]:
+            name, content, number, start, end = runs([docs[i][1] for i in held])
+            parts.append((name, content, np.array(held)[number], start, end))
+            held, size = [], 0
     if not parts:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def _by_class(name: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Stable order by name and content; contents are compared only where a name repeats."""
+    order = np.argsort(name, kind="stable")
+    again = name[order][1:] == name[order][:-1]
+    at = np.flatnonzero(np.concatenate([again, [False]]) | np.concatenate([[False], again]))
+    some = order[at]
+    order[at] = some[np.lexsort((content[some], name[some]))]
+    return order
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Stable order by bucket; small numbers are sorted by their digits."""
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+
+
 def _classes(name: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """Equal runs of a block: sorted order, class of each sorted run, least id of the class, class firsts, names with too many classes."""
-    order = np.lexsort((ids, content, name))
+    order = _by_class(name, content)  # a block's documents stand by id, and so do those of a class
     name, content, ids = name[order], content[order], ids[order]
     new_name = np.concatenate([[True], name[1:] != name[:-1]])
     new = new_name | np.concatenate([[True], content[1:] != content[:-1]])
@@ -199,7 +227,7 @@ def _name_rows(blocks: DataFrame, buckets: int) -> DataFrame:
                 e = _entries(_load(payload.as_py()), buckets)
                 if e is None:
                     continue
-                order = np.argsort(e["bucket"], kind="stable")
+                order = _by_bucket(e["bucket"], buckets)
                 cuts = np.flatnonzero(np.diff(e["bucket"][order])) + 1
                 rows = []
                 for part in np.split(order, cuts):
@@ -231,7 +259,7 @@ def _judge_names(rows: DataFrame) -> DataFrame:
         least = np.concatenate([v[2][v[3]] for v in loaded])
         sizes = [len(v[3]) for v in loaded]
         mark = np.concatenate([np.unpackbits(np.frombuffer(v[4], np.uint8), count=n) for v, n in zip(loaded, sizes)]).astype(bool)
-        order = np.lexsort((least, content, name))
+        order = _by_class(name, content)
         n, c, low = name[order], content[order], least[order]
         new_name = np.concatenate([[True], n[1:] != n[:-1]])
         new = new_name | np.concatenate([[True], c[1:] != c[:-1]])
@@ -264,25 +292,35 @@ def _flags(cells: pa.Scalar) -> np.ndarray:
 
 def _spread(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int, int]]:
     """Intervals by document, merged where they touch."""
+    if not len(doc):
+        return []
     order = np.lexsort((start, doc))
-    out: list[tuple[int, int, int]] = []
-    for d, a, b in zip(doc[order].tolist(), start[order].tolist(), stop[order].tolist()):
-        if out and out[-1][0] == d and a <= out[-1][2]:
-            if b > out[-1][2]:
-                out[-1] = (d, out[-1][1], b)
-        else:
-            out.append((d, a, b))
-    return out
+    doc, start, stop = (x[order].astype(np.int64) for x in (doc, start, stop))
+    # the farthest stop so far; documents ascend, so none reaches over the next one's
+    far = np.maximum.accumulate((doc << 32) + stop)
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] << 32) + start[1:] > far[:-1]]))
+    last = np.append(first[1:], len(doc)) - 1
+    return list(zip(doc[first].tolist(), start[first].tolist(), (far[last] - (doc[last] << 32)).tolist()))
 
 
 def sort_stretches(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, window and covered flag of every window of the stretches; covered: an equal window has a smaller owner."""
-    joined = b"\x00".join(texts) + b"\x00"
+    """Text number, window and covered flag of every window of the stretches; covered: an equal window has a smaller owner.
+
+    The symbols sorted are strings of ``SYMBOL`` bytes, one for each place of a text, in the order of their bytes: groups are small
+    from the start, and the places at a text's end that only longer symbols reach need none.  Symbol 0 ends a text.
+    """
+    joined = b"".join(texts)
     sizes = np.array([len(t) for t in texts])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text_of = np.repeat(np.arange(len(texts)), sizes + 1)
-    offset = np.arange(len(joined)) - begin[text_of]
-    order = suffix_array(joined)
+    count = np.maximum(sizes - SYMBOL + 1, 0)
+    text_of = np.repeat(np.arange(len(texts)), count + 1)
+    ends = np.cumsum(count + 1)
+    offset = np.arange(len(text_of)) - (ends - count - 1)[text_of]
+    place = (np.cumsum(sizes) - sizes)[text_of] + offset
+    word = np.ndarray(len(joined) + 1, ">u8", joined + bytes(SYMBOL), 0, (1,))[place]
+    symbol = np.zeros(len(word), np.int64)
+    inner = offset < count[text_of]
+    symbol[inner] = np.unique(word[inner], return_inverse=True)[1] + 1
+    order = suffix_array(symbol)
     order = order[offset[order] + LENGTH <= sizes[text_of[order]]]  # only windows inside one stretch
     if not len(order):
         none = np.empty(0, np.int64)
@@ -290,8 +328,8 @@ def sort_stretches(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, n
     view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), LENGTH)
     same = np.zeros(len(order), bool)
     for at in range(1, len(order), 1 << 16):
-        here = order[at : at + (1 << 16)]
-        same[at : at + len(here)] = (view[here] == view[order[at - 1 : at - 1 + len(here)]]).all(axis=1)
+        here = place[order[at : at + (1 << 16)]]
+        same[at : at + len(here)] = (view[here] == view[place[order[at - 1 : at - 1 + len(here)]]]).all(axis=1)
     first = np.flatnonzero(~same)
     group = np.cumsum(~same) - 1
     who = owner[text_of[order]]
@@ -309,7 +347,7 @@ def _sort_rows(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
                     yield _batch([(block, -1, _dump(([], [], [], [])))])
                     continue
                 flag = np.empty(len(e["bucket"]), np.uint8)
-                flag[np.argsort(e["bucket"], kind="stable")] = _flags(cells)
+                flag[_by_bucket(e["bucket"], buckets)] = _flags(cells)
                 mine = flag[e["entry"]]
                 crowded = e["mark"][e["entry"]]
                 covered = e["covered"] | ((mine & 1) > 0)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,3 +67,42 @@ def test_remove_keeps_columns(spark):
         [("1", p + "one", "x"), ("2", "two", None), ("None", p, "y"), ("3", None, "z"), ("3", None, "z"), ("4", "", "w")], key=lambda r: r[0]
     ) or {r.doc_id: r.text for r in got.collect()} == {1: p + "one", 2: "two", None: p, 3: None, 4: ""}
     assert suffix_dedup.digest(df.limit(0)).count() == 0
+
+
+def test_sort_of_symbols(monkeypatch):
+    """Windows are judged as by their bytes, from one symbol per whole eight bytes and one end per text."""
+    r = random.Random(5)
+    texts = [bytes(r.choices(b"ab\x00\xff", k=r.choice((50, 51, 57, 90)))) for _ in range(30)]
+    texts += [t[:55] for t in texts if len(t) > 55] + [b"a" * 120, b"\x00" * 70, b"a" * 60]
+    owner = np.array([r.randint(1, 9) for _ in texts])
+    sorted_sizes = []
+
+    def spy(symbols):
+        sorted_sizes.append(len(symbols))
+        return suffix_array(symbols)
+
+    monkeypatch.setattr(suffix_dedup, "suffix_array", spy)
+    first = {}
+    for t, who in zip(texts, owner):
+        for a in range(len(t) - 49):
+            first[t[a : a + 50]] = min(first.get(t[a : a + 50], who), who)
+    want = {(k, a, owner[k] > first[t[a : a + 50]]) for k, t in enumerate(texts) for a in range(len(t) - 49)}
+    assert set(zip(*suffix_dedup.sort_stretches(texts, owner))) == want
+    assert sorted_sizes == [sum(len(t) - 7 + 1 for t in texts)]
+
+
+def test_runs_of_joined_texts(monkeypatch):
+    """A block's texts are hashed together, and each has the runs it has alone."""
+    r = random.Random(6)
+    docs = [(k, bytes(r.choices(b"ab", k=r.choice((0, 49, 50, 51, 200)))), True, ()) for k in range(300)]
+    calls = []
+    hashes = suffix_dedup.hashes
+    monkeypatch.setattr(suffix_dedup, "hashes", lambda *a: calls.append(1) or hashes(*a))
+    got = suffix_dedup._block_runs(docs)
+    assert len(calls) == 1
+    alone = [suffix_dedup._block_runs([d]) for d in docs]
+    for c in (0, 1, 3, 4):
+        assert np.concatenate([a[c] for a in alone]).tolist() == got[c].tolist()
+    assert got[2].tolist() == [k for k, a in enumerate(alone) for _ in a[0]]
+    monkeypatch.setattr(suffix_dedup, "JOINED", 300)
+    assert [c.tolist() for c in suffix_dedup._block_runs(docs)] == [c.tolist() for c in got]
