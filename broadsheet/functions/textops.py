@@ -18,8 +18,8 @@ def literal(text: str) -> Column:
 
 
 def strip(col: Column) -> Column:
-    """Trim Unicode white space at both ends."""
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Trim Unicode white space at both ends; only the ends are looked at."""
+    return F.btrim(col, F.lit(fv.SPACE_CHARS))
 
 
 def blank_to_null(col: Column) -> Column:

@@ -63,10 +63,10 @@ def build_prompts(
 
 def parse(completions: DataFrame, sources: DataFrame, as_of: Column, searched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One article per topic dated with the run's day; an empty completion is a failed run."""
-    text = F.get(F.col("r.choices"), F.lit(0))["message"]["content"]
-    read = filters.with_source(
-        completions.select("source_pos", F.from_json("payload", _RESPONSE).alias("r")), sources, ["src", "title", "goal", "model"]
-    ).select("source_pos", "src", "title", "goal", "model", text.alias("text"))
+    text = F.get(F.from_json("payload", _RESPONSE)["choices"], F.lit(0))["message"]["content"]
+    # exploded, a text is read once: a plain column would be read again by the filter on it, which moves below the joins
+    texts = completions.select("source_pos", F.explode(F.array(text)).alias("text"))
+    read = filters.with_source(texts, sources, ["src", "title", "goal", "model"])
     good = F.coalesce(F.col("text"), F.lit("")) != ""
     runs = read.select("source_pos", good.alias("success"), F.when(~good, EMPTY).alias("error"))
     if searched is not None:

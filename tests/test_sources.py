@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from broadsheet import fixed_values as fv
+from broadsheet.functions import textops
 from broadsheet.operators import ledger
 from broadsheet.sources import bookmarks, config, feeds, forecast, mail, registry, trending, web  # noqa: F401
 
@@ -150,3 +152,28 @@ def test_mail_options_apply_in_a_run(spark):
     for r in sorted(rows.collect(), key=lambda r: (r.source_pos, r.item_pos)):
         got.setdefault(r.source_pos, []).append(r.title)
     assert got == {0: ["4", "2", "0"], 1: ["3", "1"], 2: ["4", "3", "2"], 3: ["4", "2", "1", "0"]}
+
+
+def test_completions_are_read_once(spark):
+    """The filter on a completion's text does not read its payload again; rows and failed runs stay."""
+    sources = _sources(spark, *({"source_pos": k, "type": "trending", "src": f"topic {k}"} for k in range(4)))
+    done = _payloads(spark, {"choices": [{"message": {"content": "　One\n \nTwo "}}]}, {"choices": []}, {"choices": [{"message": {"content": ""}}]}, {})
+    hits = spark.createDataFrame([(0,), (0,), (None,)], "source_pos int")
+    rows, runs = trending.parse(done, sources, F.lit("2024-01-02 00:00:00").cast("timestamp"), hits)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert [(r.source_pos, r.content, r.metadata["has_search_context"]) for r in rows.collect()] == [(0, "<p>One</p><p>Two</p>", "true")]
+    assert [(r.source_pos, r.success) for r in runs.orderBy("source_pos").collect()] == [(0, True), (1, False), (2, False), (3, False)]
+
+
+def test_strip_takes_all_white_space(spark):
+    space = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+    assert set(fv.SPACE_CHARS) == set(space)
+    texts = [None, "", space, f"{space}a{space}b ​{space}", "﻿ a", "é\n", " \U0001f600 "]
+    pattern = F.regexp_replace("t", rf"^{textops.SPACE}+|{textops.SPACE}+\z", "")
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+    assert [r.s for r in df.select(pattern.alias("s")).collect()] == [t if t is None else t.strip() for t in texts]
+    got = df.select(textops.strip(F.col("t")).alias("s"))
+    assert [r.s for r in got.collect()] == [t if t is None else t.strip() for t in texts]
+    # only the ends are looked at, not every place
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
