@@ -91,3 +91,27 @@ def test_vectors_against_brute_force(spark, monkeypatch):
         rows = collision_count.digest(df).collect()
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows} == {k: (n[k], least[k], least[k] == k) for k in vectors}
     assert collision_count.digest(df.limit(0)).count() == 0
+
+
+def test_vectors_in_rounds_keep_no_pairs(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(500, 32))
+    x[100:400] = x[0] + 0.05 * draw.normal(size=(300, 32))
+    vectors = {k: v.tolist() for k, v in enumerate(x)} | {600 + k: x[k].astype(np.float32).tolist() for k in range(20)}  # single precision meets double
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    good = {k: np.array(v) / np.linalg.norm(v) for k, v in vectors.items()}
+    links = [(a, b) for a, b in itertools.combinations(sorted(good), 2) if good[a] @ good[b] >= 0.9]
+    assert len(links) > 40_000
+    least, n, staged = _least(vectors, links), {k: sum(k in p for p in links) for k in vectors}, {}
+
+    def counted(df, name, keep=collision_count.stage):
+        out = keep(df, name)
+        staged[name] = staged.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(collision_count, "stage", counted)
+    monkeypatch.setattr(collision_count, "ROWS", 1, raising=False)  # four lists to a round
+    monkeypatch.setattr(collision_count, "PART", 4096, raising=False)
+    rows = collision_count.digest(df).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows} == {k: (n[k], least[k], least[k] == k) for k in vectors}
+    assert max(staged.values()) < 10 * len(vectors)
