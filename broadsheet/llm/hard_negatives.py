@@ -6,10 +6,11 @@ tabulated, one table per group of eight dimensions; a plane's byte of a candidat
 looked-up sums over the groups, shifted by the plane (the sign plane counts negative), gives the full inner product: eight
 dimensions for one look-up, no multiplication, no rounding.
 
-Anchors are a stated query set against all rows, in blocks: tiles lie in buckets, blocks of anchors visit every bucket, and a
-task holds one tile and one block.  A first pass keeps each tile's best rows of the anchor's label, a second one, now that
-the positives' scores are known, the best rows of other labels inside each positive's range; both are cut again over the
-tiles.  Equal scores are ordered by vec_id, so copies of a vector make no ambiguity.
+Anchors are a stated query set against all rows, in blocks: tiles lie in groups of bounded size, blocks of anchors in chunks, and
+every chunk meets every group in a task of its own, which holds the group's tiles and takes the blocks one by one; nothing is
+broadcast.  A first pass keeps each group's best rows of the anchor's label, a second one, now that the positives' scores are
+known, the best rows of other labels inside each positive's range; both are cut again over the groups.  Equal scores are ordered
+by vec_id, so copies of a vector make no ambiguity.
 
 Defined results: rows with a null vec_id, a null label, a null vector or a null or non-finite component take no part, nor does a
 row with a component of 4096 or more in magnitude (its scores need not fit 64 bits); only vectors of one length are scored
@@ -42,6 +43,9 @@ LOW, HIGH = 50, 95
 TILE = 4096
 BLOCK = 128
 STRIP = 512
+#: bytes of a group of tiles and of a chunk of anchors that meet in one task
+GROUP = 4 << 20
+CHUNK = 1 << 20
 
 TILES = "tile long, size int, n int, planes int, ids binary, labels binary, bits binary"
 _TILES = pa.schema(
@@ -66,11 +70,11 @@ def whole_numbers(bits: np.ndarray, size: int, rows: np.ndarray) -> np.ndarray:
 
 
 def subset_sums(anchors: np.ndarray) -> np.ndarray:
-    """Tables [group, 256, anchor]: the sum of the components that a byte's bits choose."""
+    """Tables [group, 256, anchor]: the sum of the components that a byte's bits choose, in the least type that holds all sums over the groups."""
     n, size = anchors.shape
     groups = -(-size // 8)
-    fits = 8 * groups * int(np.abs(anchors).max(initial=0)) < 1 << 31
-    padded = np.zeros((n, groups * 8), np.int32 if fits else np.int64)
+    most = int(np.abs(anchors).sum(axis=1).max(initial=0))
+    padded = np.zeros((n, groups * 8), np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
     padded[:, :size] = anchors
     out = np.zeros((groups, 256, n), padded.dtype)
     for k in range(8):
@@ -81,17 +85,20 @@ def subset_sums(anchors: np.ndarray) -> np.ndarray:
 def scores(bits: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """Exact inner products [row, anchor] by look-ups: bits [plane, group, row], tables [group, 256, anchor]."""
     planes, groups, n = bits.shape
-    out = np.zeros((n, tables.shape[2]), np.int64)
+    most = int(max(tables.max(initial=0), -int(tables.min(initial=0)))) * groups
+    kind = np.int32 if most << planes < 1 << 31 else np.int64
+    out = np.zeros((n, tables.shape[2]), kind)
     for at in range(0, n, STRIP):
-        piece = bits[:, :, at : at + STRIP]
+        piece = bits[:, :, at : at + STRIP].astype(np.intp)
         looked = np.empty((piece.shape[2], tables.shape[2]), tables.dtype)
+        plane, total = np.empty_like(looked), out[at : at + STRIP]
         for b in range(planes):
-            plane = np.zeros_like(looked)
+            plane.fill(0)
             for g in range(groups):
                 np.take(tables[g], piece[b, g], axis=0, out=looked, mode="clip")
                 plane += looked
-            shifted = plane.astype(np.int64) << b
-            out[at : at + STRIP] += -shifted if b == planes - 1 else shifted
+            shifted = plane.astype(kind) << b
+            total += -shifted if b == planes - 1 else shifted
     return out
 
 
@@ -142,6 +149,9 @@ def tiles(embeddings: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, TILES)
 
 
+_NONE = np.empty(0, np.int64)
+
+
 def _open(batch: pa.RecordBatch) -> Iterator[tuple]:
     """tile, size, ids, labels and bits of the tiles of a batch."""
     tile, size, n, planes = (batch.column(c).to_pylist() for c in ("tile", "size", "n", "planes"))
@@ -168,53 +178,100 @@ def anchors(packed: DataFrame, every: int = EVERY) -> DataFrame:
     return packed.mapInArrow(run, "row long, id long, label long, size int, x binary")
 
 
-def _best(score: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest allowed scores; rows are in vec_id order, so earlier ones win ties."""
-    at = np.flatnonzero(allowed)
+def _best(score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The k positions in ``at`` with the highest scores; rows are in vec_id order, so earlier ones win ties."""
     if len(at) > k:
         own = score[at]
         least = np.partition(own, len(own) - k)[len(own) - k]
         above, equal = at[own > least], at[own == least]
         at = np.concatenate([above, equal[: k - len(above)]])
-    return at[np.argsort(-score[at], kind="stable")]
+    return at
+
+
+def _picked(tile: tuple, labels_at: dict[int, np.ndarray], members: dict, here: range, tables: np.ndarray, ranges: bool) -> list[np.ndarray]:
+    """Anchor, slot, id and score of the best rows of a tile for the anchors ``here``."""
+    number, ids, labels, bits = tile
+    found = np.ascontiguousarray(scores(bits, tables).T)
+    who, slots, at = [], [], []
+    for k, score in zip(here, found):
+        row, own = members["row"][k], members["label"][k]
+        if not ranges:
+            same = labels_at.get(own, _NONE)
+            if row >> 13 == number:
+                same = same[same != row & 8191]
+            picks = [_best(score, same, POSITIVES)]
+        else:
+            wanted = members["wanted"][k]
+            other = labels_at[own] if own in labels_at else labels_at.setdefault(own, labels != own)
+            # 100 * score in whole numbers against LOW and HIGH times the positive's
+            near = np.flatnonzero((score >= -(-LOW * min(wanted) // 100)) & (score <= HIGH * max(wanted) // 100) & other)
+            some = score[near]
+            picks = [_best(score, near[(some >= -(-LOW * p // 100)) & (some <= HIGH * p // 100)], NEGATIVES) for p in wanted]
+        for slot, best in enumerate(picks):
+            if len(best):
+                who.append(np.full(len(best), k)), slots.append(np.full(len(best), slot)), at.append(best)
+    if not at:
+        return [np.empty(0, np.int64)] * 4
+    who, slots, at = (np.concatenate(c) for c in (who, slots, at))
+    return [who, slots, ids[at], found[who - here.start, at].astype(np.int64)]
 
 
 def _scored(packed: DataFrame, queries: DataFrame, n_tiles: int, n_blocks: int, ranges: bool) -> DataFrame:
-    """Per tile the best rows of each anchor: of its label (slot 0), or of other labels in the range of each positive's score (its slot)."""
+    """Per group of tiles the best rows of each anchor: of its label (slot 0), or of other labels in the range of each positive's score (its slot)."""
+    in_bytes = lambda df, *columns: df.agg(F.coalesce(F.sum(sum((F.length(c) for c in columns), F.lit(0))), F.lit(0))).first()[0]
+    n_chunks = max(1, min(n_blocks, -(-in_bytes(queries, "x") // CHUNK)))
+    n_groups = max(-(-2 * packed.sparkSession.sparkContext.defaultParallelism // n_chunks), -(-in_bytes(packed, "ids", "labels", "bits") // GROUP))
+    n_groups = max(1, min(n_tiles, n_groups))
     fields = ["row", "label", "x"] + ["wanted"] * ranges
     blocks = queries.groupBy(F.pmod(F.xxhash64("row"), F.lit(n_blocks)).alias("_block"), "size").agg(F.collect_list(F.struct(*fields)).alias("members"))
-    sent = blocks.select(F.col("size").alias("_size"), "members", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("_b"))
-    placed = packed.withColumn("_b", F.pmod(F.xxhash64("tile"), F.lit(n_tiles)).cast("int")).repartition(n_tiles, "_b")
-    met = placed.join(sent, "_b").filter("size = _size").drop("_b", "_size")
+    tile, every = F.struct(*packed.columns), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = blocks.select((F.col("_block") % n_chunks).cast("int").alias("_c"), every(n_groups).alias("_g"), F.lit(1).alias("_kind"), "size", "members").withColumn("tile", F.lit(None).cast(packed.select(tile.alias("t")).schema["t"].dataType))
+    placed = packed.select(every(n_chunks).alias("_c"), F.pmod(F.xxhash64("tile"), F.lit(n_groups)).cast("int").alias("_g"), F.lit(0).alias("_kind"), "size", tile.alias("tile")).withColumn("members", F.lit(None).cast(blocks.schema["members"].dataType))
+    # a task has the tiles of a group before the blocks of a chunk
+    met = placed.unionByName(sent).repartition(n_groups * n_chunks, "_g", "_c").sortWithinPartitions("_g", "_c", "_kind").select("_g", "_c", "_kind", "size", "tile", "members")
     schema = pa.schema([("row", pa.int64()), ("slot", pa.int32()), ("id", pa.int64()), ("score", pa.int64())])
+    kept = NEGATIVES if ranges else POSITIVES
+
+    def judged(group: list[tuple], members: dict, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(x), BLOCK):
+            here = range(at, min(len(x), at + BLOCK))
+            tables = subset_sums(x[here.start : here.stop])
+            parts = [_picked(tile, labels_at, members, here, tables, ranges) for tile, labels_at in group]
+            if not parts:
+                return
+            who, slot, ids, score = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((ids, -score, slot, who))
+            who, slot, ids, score = (c[order] for c in (who, slot, ids, score))
+            new = np.ones(len(who), bool)
+            new[1:] = (who[1:] != who[:-1]) | (slot[1:] != slot[:-1])
+            start = np.flatnonzero(new)
+            good = np.arange(len(who)) - start[np.cumsum(new) - 1] < kept if len(who) else new
+            columns = [members["row"][who[good]], slot[good].astype(np.int32), ids[good], score[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, group = None, {}
         for batch in batches:
-            for (tile, size, ids, labels, bits), block in zip(_open(batch), batch.column("members")):
-                m = block.values
-                rows, own = m.field("row").to_numpy(), m.field("label").to_numpy()
-                wanted = m.field("wanted").to_pylist() if ranges else None
-                out: list[tuple] = []
-                for at in range(0, len(rows), BLOCK):
-                    here = range(at, min(len(rows), at + BLOCK))
-                    x = np.stack([np.frombuffer(m.field("x")[k].as_buffer() or b"", np.int32) for k in here]).astype(np.int64)
-                    found = scores(bits, subset_sums(x)).T
-                    for k, score in zip(here, np.ascontiguousarray(found)):
-                        same = labels == own[k]
-                        if not ranges:
-                            if rows[k] >> 13 == tile:
-                                same[rows[k] & 8191] = False
-                            picks = [(0, _best(score, same, POSITIVES))]
-                        else:
-                            inside = lambda p: ~same & (100 * score >= LOW * p) & (100 * score <= HIGH * p)
-                            picks = [(slot, _best(score, inside(p), NEGATIVES)) for slot, p in enumerate(wanted[k])]
-                        out += [(rows[k], slot, ids[j], score[j]) for slot, best in picks for j in best]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            keys = zip(*(batch.column(c).to_pylist() for c in ("_g", "_c", "_kind", "size")))
+            tile = batch.column("tile")
+            for k, (g, c, kind, size) in enumerate(keys):
+                if (g, c) != here:
+                    here, group = (g, c), {}
+                if kind == 0:
+                    one = pa.RecordBatch.from_struct_array(tile.slice(k, 1))
+                    for number, _, ids, labels, bits in _open(one):
+                        ids, labels, bits = ids.copy(), labels.copy(), bits.copy()  # the batch goes
+                        labels_at = {} if ranges else {v: np.flatnonzero(labels == v) for v in np.unique(labels).tolist()}
+                        group.setdefault(size, []).append(((number, ids, labels, bits), labels_at))
+                elif size in group:
+                    m = batch.column("members")[k].values
+                    x = np.frombuffer(b"".join(m.field("x").to_pylist()), np.int32).reshape(len(m), size).astype(np.int64)
+                    members = {f: m.field(f).to_numpy() for f in ("row", "label")} | ({"wanted": m.field("wanted").to_pylist()} if ranges else {})
+                    yield from judged(group[size], members, x)
 
     best = met.mapInArrow(run, "row long, slot int, id long, score long")
     order = W.partitionBy("row", "slot").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (NEGATIVES if ranges else POSITIVES))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= kept)
 
 
 def mine(embeddings: DataFrame, every: int = EVERY, tile: int = TILE) -> DataFrame:

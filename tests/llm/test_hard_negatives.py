@@ -53,6 +53,18 @@ def test_against_brute_force(spark):
     assert _got(h.mine(df, tile=32)) == want  # many tiles, more buckets
 
 
+def test_blocks_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(h, "GROUP", 2048, raising=False)
+    monkeypatch.setattr(h, "CHUNK", 64, raising=False)
+    monkeypatch.setattr(h, "BLOCK", 3)
+    rows = _rows()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    packed = h.stage(h.tiles(df, 32), "tiles")
+    scored = h._scored(packed, h.anchors(packed), 20, 4, False)
+    assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert _got(h.mine(df, tile=32)) == _brute(rows)
+
+
 def test_empty_and_all_unusable(spark):
     assert h.mine(spark.createDataFrame([], SCHEMA)).collect() == []
     assert h.mine(spark.createDataFrame([("e", 50, None, 1, "s")], SCHEMA)).collect() == []
