@@ -1,8 +1,9 @@
 """The daily edition as one plan.
 
 sources -> articles and runs -> first occurrences not in the ledger -> cleaned -> sections, chapters, contents, pages.
-Bodies are cleaned only for new articles.  The new articles are staged once as a table in the run's work folder, because
-every edition table and the ledger read them; a lost executor then costs a re-read, not a recomputation.
+Bodies are cleaned only for new articles.  The articles found, with their ids, and then the new ones are staged once as tables in
+the run's work folder: the first occurrences and the bodies both read the former, every edition table and the ledger the latter;
+a lost executor then costs a re-read, not a recomputation.
 """
 
 from __future__ import annotations
@@ -92,9 +93,9 @@ def run(
     limit = config.read_limit(spark, config_path)
     found, runs = collect_sources(spark, sources, landing, limit, as_of)
     known = ledger.read(spark, ledger_path).filter(F.col("run_id") != run_id)
-    fresh = ledger.new_articles(ledger.with_ids(found), known)
-
     stage = f"{work_path}/run_id={run_id}"
+    ledger.with_ids(found).write.mode("overwrite").parquet(f"{stage}/found")
+    fresh = ledger.new_articles(spark.read.parquet(f"{stage}/found"), known)
     art.clean(fresh, sources).write.mode("overwrite").parquet(f"{stage}/new")
     runs.write.mode("overwrite").parquet(f"{stage}/runs")
     new, runs = spark.read.parquet(f"{stage}/new"), spark.read.parquet(f"{stage}/runs")

@@ -185,8 +185,9 @@ chap AS (SELECT new.*, section_no, first_chapter + row_number() OVER (PARTITION
 )
 def e10(spark, sf):
     """Half of the feeds on the first day, all on the second, the second day twice; chapters of both editions with their ledger entries."""
-    payloads = feed_payloads(spark, sf)
-    config_path, known, out, work = (scratch.folder(spark, n) for n in ("config", "ledger", "editions", "work"))
+    config_path, known, out, work, landed = (scratch.folder(spark, n) for n in ("config", "ledger", "editions", "work", "landed"))
+    feed_payloads(spark, sf).write.parquet(landed)
+    payloads = spark.read.parquet(landed)
     entry = F.struct(
         F.lit("rss").alias("type"), F.concat(F.lit("https://f.example.org/feed/"), F.col("source_pos").cast("string")).alias("src"), (F.col("source_pos") % 3).alias("priority"),
         F.when(F.col("source_pos") % 7 == 3, "The, zz").alias("delete"), F.when(F.col("source_pos") % 3 == 1, F.create_map(F.lit("limit"), F.lit("5"))).alias("metadata"),
@@ -195,9 +196,9 @@ def e10(spark, sf):
     body = payloads.select("source_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_pos", F.to_json(entry).alias("e")))), lambda x: x["e"]), ",").alias("body"))
     body.select(F.concat(F.lit('{"title": {"text": "Daily"}, "limit": 15, "body": ['), "body", F.lit("]}")).alias("value")).coalesce(1).write.text(config_path)
     half = payloads.filter(F.col("source_pos") % 2 == 0)
-    for run_id, day, landed in ((1, 6, half), (2, 7, payloads), (2, 7, payloads)):
+    for run_id, day, some in ((1, 6, half), (2, 7, payloads), (2, 7, payloads)):
         as_of = dt.datetime(2024, 5, day, 4, tzinfo=dt.timezone.utc)
-        daily.run(spark, config_path, lambda kind, rows=landed: rows if kind == "rss" else None, known, out, work, as_of, run_id)
+        daily.run(spark, config_path, lambda kind, rows=some: rows if kind == "rss" else None, known, out, work, as_of, run_id)
     written = spark.read.option("basePath", f"{out}/chapters").parquet(f"{out}/chapters").withColumn("edition_date", F.col("edition_date").cast("string"))
     new = spark.read.option("basePath", work).parquet(*[f"{work}/run_id={r}/new" for r in (1, 2)]).select("url", "title", "content_id", F.col("run_id").cast("long").alias("run_id"))
     noted = ledger.read(spark, known).select("content_id", "run_id")

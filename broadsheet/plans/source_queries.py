@@ -22,6 +22,8 @@ from broadsheet.sources import bookmarks, config, feeds, forecast, mail, scratch
 
 PER_PAYLOAD = 20
 _CONTROL = r"[\x00-\x08\x0b-\x1f\x7f\x{fffe}\x{ffff}]"
+#: as much of a text as holds its first forty letters, ampersands and blanks
+_HEAD = r"^(?:[^A-Za-z& ]*+[A-Za-z& ]){0,40}"
 
 
 def _docs(spark, sf: str) -> DataFrame:
@@ -30,7 +32,7 @@ def _docs(spark, sf: str) -> DataFrame:
     clean_text = F.regexp_replace(F.coalesce("text", F.lit("")), _CONTROL, "")
     return d.select(
         "doc_id", F.floor(F.col("doc_id") / PER_PAYLOAD).cast("int").alias("feed"), (F.col("doc_id") % PER_PAYLOAD).cast("int").alias("k"),
-        clean_text.alias("body"), F.left(F.regexp_replace(clean_text, r"[^A-Za-z& ]+", ""), F.lit(40)).alias("head"), "lang",
+        clean_text.alias("body"), F.left(F.regexp_replace(F.regexp_extract(clean_text, _HEAD, 0), r"[^A-Za-z& ]+", ""), F.lit(40)).alias("head"), "lang",
     )
 
 

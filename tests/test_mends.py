@@ -74,3 +74,26 @@ def test_link_dense_runs_of_long_pages(spark):
     page = f"<p>{body}</p><p><a>all of it links</a></p><p>some text <a>a</a></p>"
     got = spark.createDataFrame([(page,)], "html string").select(clean._text_share(F.col("html")).alias("x")).first().x
     assert got == f"<p>{body}</p><p></p><p>some text <a>a</a></p>"
+
+
+def test_daily_run_reads_payloads_for_articles_once(spark, tmp_path):
+    import datetime as dt
+
+    from broadsheet.plans import daily
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rss = "<rss><channel><title>F</title><item><title>One</title><link>https://e.org/1</link><description>text</description></item></channel></rss>"
+    payloads = spark.createDataFrame([(0, rss), (1, rss)], "source_pos int, payload string").mapInArrow(count, "source_pos int, payload string")
+    config = tmp_path / "config.json"
+    config.write_text('{"title": {"text": "D"}, "body": [{"type": "rss", "src": "https://e.org/a"}, {"type": "rss", "src": "https://e.org/b"}]}')
+    at = dt.datetime(2024, 5, 6, 4, tzinfo=dt.timezone.utc)
+    out = str(tmp_path / "out")
+    assert daily.run(spark, str(config), lambda kind: payloads if kind == "rss" else None, str(tmp_path / "ledger"), out, str(tmp_path / "work"), at, 1)
+    assert [r.url for r in spark.read.parquet(f"{out}/chapters").collect()] == ["https://e.org/1"]
+    assert seen.value <= 6  # two payloads: for articles once, for runs and for sources without one
